@@ -116,6 +116,37 @@ def distinct(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed & LOW52, (packed >> U(52)).astype(np.int64)
 
 
+class Lookup:
+    """Positions of 64-bit hashes in a sorted array of distinct ones, through a table on their upper bits."""
+
+    def __init__(self, keys: np.ndarray, spare: int = 2):
+        self.keys, bits = keys, max(4, int(len(keys)).bit_length() + spare)
+        self.shift = np.uint64(64 - bits)
+        slots = (keys >> self.shift).astype(np.int64)
+        self.low = np.searchsorted(slots, np.arange((1 << bits) + 1)).astype(np.int32)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """1 + position, 0 where absent."""
+        last = len(self.keys) - 1
+        if last < 0:
+            return np.zeros(len(h), np.int32)
+        slot = (h >> self.shift).astype(np.int64)
+        at = self.low[slot]
+        out = np.minimum(at, last)
+        same = self.keys[out] == h
+        out += 1
+        out[~same] = 0
+        rest = np.flatnonzero(~same)
+        at, high = at[rest] + 1, self.low[slot[rest] + 1]
+        while len(rest):
+            more = at < high
+            rest, at, high = rest[more], at[more], high[more]
+            same = self.keys[at] == h[rest]
+            out[rest[same]] = at[same] + 1
+            rest, at, high = rest[~same], at[~same] + 1, high[~same]
+        return out
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column of numbers from all values and the length of each list."""
     at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import ALNUM, blocks, hash_spans, texts, words
+from .bytetext import ALNUM, Lookup, blocks, hash_spans, texts, words
 
 #: Words in a window.
 WINDOW = 10
@@ -28,31 +28,6 @@ _MATCH = pa.list_(
 )
 
 
-class Lookup:
-    """Positions of 64-bit hashes in a sorted array of distinct ones, through a table on their upper bits."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys, bits = keys, max(4, int(len(keys)).bit_length() + 3)
-        self.shift = np.uint64(64 - bits)
-        slots = (keys >> self.shift).astype(np.int64)
-        self.low = np.searchsorted(slots, np.arange((1 << bits) + 1)).astype(np.int32)
-        self.most = int(np.diff(self.low).max(initial=0))
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        """1 + position, 0 where absent."""
-        out = np.zeros(len(h), np.int32)
-        if not len(self.keys):
-            return out
-        slot = (h >> self.shift).astype(np.int64)
-        low = self.low[slot]
-        last = len(self.keys) - 1
-        for j in range(self.most):
-            at = np.minimum(low + j, last)
-            same = self.keys[at] == h
-            out[same] = at[same] + 1
-        return out
-
-
 class Tests:
     """The test suffixes of benchmark items, by window length, over the items' vocabulary."""
 
@@ -62,7 +37,7 @@ class Tests:
         s, e, first = words(data, at, ALNUM)
         h = hash_spans(data, s, e)
         vocabulary, token = np.unique(h, return_inverse=True)
-        self.find, self.kind = Lookup(vocabulary), (">u2" if len(vocabulary) < 65_535 else ">u4")
+        self.find, self.kind = Lookup(vocabulary, 3), (">u2" if len(vocabulary) < 65_535 else ">u4")
         token = token.astype(np.int64) + 1
         self.ids = np.array(ids, dtype=object)
         #: by length: first tokens tables, distinct keys, and for each the (item, word) pairs it stands at

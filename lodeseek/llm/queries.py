@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, secret_scan, url_filter
+from . import chat_format, ctw, decontaminate, fingerprint, secret_scan, url_filter
 from .common import table
 
 URL_RULES = [
@@ -36,6 +36,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(rows.unionByName(extra)))
 
 
+def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_fingerprint": op3_fingerprint,
     "op5_chat_format": op5_chat_format,
+    "op9_ctw": op9_ctw,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, ctw, decontaminate, fingerprint, secret_scan, sp_codec, url_filter
+from . import chat_format, ctw, decontaminate, fingerprint, quality, secret_scan, sp_codec, url_filter
 from .common import table
 
 URL_RULES = [
@@ -36,6 +36,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(rows.unionByName(extra)))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_sp_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode(table(spark, sf_dir, "documents"), check=True)
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_fingerprint": op3_fingerprint,
     "op5_chat_format": op5_chat_format,
+    "op6_quality": op6_quality,
     "op7_sp_codec": op7_sp_codec,
     "op9_ctw": op9_ctw,
     "op10_secret_scan": op10_secret_scan,

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import SPACED, Lookup, blocks, hash_spans, mix, texts, words
+from .bytetext import SPACED, Lookup, blocks, hash_spans, merged, mix, tally, texts, words
 from .common import crc_rest, cut
 
 #: Bytes of context; 5 * 8 bits and a document's number share a word of 64 bits.
@@ -51,20 +51,6 @@ def strings(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, n
     return packed[keep], size + 1
 
 
-def tally(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.diff(np.append(first, len(values)))
-
-
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
-
-
 def count(docs: DataFrame, held: str, depth: int) -> DataFrame:
     """(kind, key, n): kind 0 words and 1 byte strings, pre-aggregated per batch, then summed. Held-out rows count 0."""
 

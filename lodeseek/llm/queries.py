@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, ctw, decontaminate, fingerprint, quality, secret_scan, sp_codec, url_filter
+from . import chat_format, ctw, decontaminate, fingerprint, ngram_join, quality, secret_scan, sp_codec, url_filter
 from .common import table
 
 URL_RULES = [
@@ -29,6 +29,10 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
     "op3_fingerprint": op3_fingerprint,
+    "op4_ngram_join": op4_ngram_join,
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
     "op7_sp_codec": op7_sp_codec,

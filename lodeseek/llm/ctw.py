@@ -27,7 +27,7 @@ DEPTH = 4
 #: Most distinct byte strings in the model (16 bytes each); beyond them the depth falls by one, down to 2 (2**24 strings).
 STRINGS = 1 << 24
 #: Most words whose counts are broadcast; the occurrences of rarer words are joined.
-HEAD = 1 << 20
+HEAD = 1 << 19
 END = 255  # no byte of UTF-8
 
 COUNTS = "kind int, key long, n long"
@@ -59,7 +59,7 @@ def count(docs: DataFrame, held: str, depth: int) -> DataFrame:
             data, at = texts(batch.column(0))
             learn = ~np.array(batch.column(1), dtype=bool)
             got: list[list] = [[], []]
-            for i, j in blocks(at, 8 << 20):
+            for i, j in blocks(at, 2 << 20):
                 own = at[i : j + 1] - at[i]
                 part = data[at[i] : at[j]]
                 s, e, first = words(part, own, SPACED)
@@ -134,9 +134,9 @@ class Model:
         self.depth = depth
         hashed = mix(packed)
         order = np.argsort(hashed)
-        self.find, self.value = Lookup(hashed[order]), np.concatenate([[0.0], weigh(packed, n, depth)[order]])
+        self.find, self.value = Lookup(hashed[order], 1), np.concatenate([[0.0], weigh(packed, n, depth)[order]])
         order = np.argsort(words_)
-        self.word, self.count = Lookup(words_[order]), np.concatenate([[0], counts[order]])
+        self.word, self.count = Lookup(words_[order], 1), np.concatenate([[0], counts[order]])
         self.tokens, self.kinds, self.ends = tokens, kinds, ends
 
     def base(self, c):
@@ -194,7 +194,7 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, depth: int = DEPTH)
         m = shared.value
         for batch in batches:
             data, at = texts(batch.column(1))
-            for i, j in blocks(at):
+            for i, j in blocks(at, 1 << 20):
                 own = at[i : j + 1] - at[i]
                 part = data[at[i] : at[j]]
                 s, e, first = words(part, own, SPACED)

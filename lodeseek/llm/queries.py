@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, ctw, decontaminate, fingerprint, ngram_join, quality, secret_scan, sp_codec, url_filter
+from . import chat_format, ctw, decontaminate, fingerprint, line_dedup, ngram_join, quality, secret_scan, sp_codec, url_filter
 from .common import table
 
 URL_RULES = [
@@ -49,6 +49,10 @@ def op7_sp_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode(table(spark, sf_dir, "documents"), check=True)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
     "op7_sp_codec": op7_sp_codec,
+    "op8_line_dedup": op8_line_dedup,
     "op9_ctw": op9_ctw,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -119,14 +119,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, rounds: int = 40, batch: int = 512, rate: float = 0.004, decay: float = 1e-4, seed: int = 7) -> Network:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500, batch: int = 512, rate: float = 0.004, decay: float = 1e-3, seed: int = 7) -> Network:
     """Minimises prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)); where that bracket is negative, steps back up it."""
     net, rng = Network(unlabelled.shape[1], hidden, seed), np.random.default_rng(seed)
     net.mean = unlabelled.mean(0)
     net.scale = 1 / np.maximum(unlabelled.std(0), 1e-3)
     p, u = net.standard(positive), net.standard(unlabelled)
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.w]
-    step = 0
+    step, rounds = 0, -(-steps // max(1, -(-len(u) // batch)))
     for r in range(rounds):
         order = rng.permutation(len(u))
         for at in range(0, len(u), batch):

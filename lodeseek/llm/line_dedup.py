@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import FOLD, U, blocks, mix, powers, texts
 from .common import cut
-from .linkage import PACKED, SETS, buckets_for, link, node_filter, pack, set_rows, shared_postings, slot_of
+from .linkage import PACKED, SETS, SKETCHES, Sets, buckets_for, link, node_filter, pack, parity, set_rows, shared_postings, slot_of
 
 #: Characters in a shingle; lines of fewer characters than MIN_CHARS (blanks around it not counted) are left alone.
 CHARS, MIN_CHARS, PERCENT = 8, 20, 75
@@ -166,23 +166,33 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 yield from pack(keys, nodes, sizes, spread_of(keys), buckets)
 
     postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared")
-    wanted = spark.sparkContext.broadcast(node_filter(postings.select("node").distinct()))
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = texts(batch.column(0))
-            for i, j in blocks(at, BLOCK):
-                sums, _, _, first, final, node = lines_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                one = np.unique(node, return_index=True)[1]
-                one = one[wanted.value[slot_of(node[one], len(wanted.value))] > 0]
-                for own, h, line, size in chunks(sums, first, final, one):
-                    rows = set_rows(node[own], size, h, line, wanted.value)
-                    if rows is not None:
-                        yield rows
-
-    found = docs.select("text").mapInArrow(fetch, SETS)
-    sets = cut(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "items", "sketch")]), "sets")
-    _, roots = link(postings, sets, percent)
+    def read(wanted: np.ndarray, schema: str, make) -> DataFrame:
+        """Rows of make(nodes, sizes, hashes, lines of these) for the lines that pass the filter, once a batch."""
+        table = spark.sparkContext.broadcast(wanted)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, at = texts(batch.column(0))
+                for i, j in blocks(at, BLOCK):
+                    sums, _, _, first, final, node = lines_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                    one = np.unique(node, return_index=True)[1]
+                    one = one[table.value[slot_of(node[one], len(table.value))] > 0]
+                    for own, h, line, size in chunks(sums, first, final, one):
+                        rows = make(node[own], size, h, line, table.value)
+                        if rows is not None:
+                            yield rows
+
+        return docs.select("text").mapInArrow(run, schema)
+
+    def sketch_rows(node, size, h, line, wanted):
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(size, pa.int32()), parity(h, line, len(node))], ["node", "size", "sketch"])
+
+    shared = postings.select("node").distinct()
+    known = read(node_filter(shared), SKETCHES, sketch_rows).join(shared, "node", "left_semi")
+    sketches = cut(known.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
+    sets = Sets(lambda wanted: read(wanted, SETS, lambda node, size, h, line, table: set_rows(node, size, h, table)))
+    _, roots = link(postings, sketches, sets, percent)
     labelled = lines.join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("label"))
     best = labelled.groupBy("label").agg(F.min(F.struct("doc_id", "line")).alias("kept"), F.count("*").alias("k")).where("k > 1")
     gone = labelled.join(best, "label").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))))

@@ -20,7 +20,8 @@ from .common import cut, forget, parts
 from .components import connected_components
 
 PACKED = "part int, keys binary, nodes binary, sizes binary"
-SETS = "node long, size int, items binary, sketch array<bigint>"
+SKETCHES = "node long, size int, sketch array<bigint>"
+SETS = "node long, items binary"
 #: Bits of the parity sketch.
 BITS = 1024
 #: Entries of one row of a byte table; fewest and most entries of a table.
@@ -141,22 +142,36 @@ def parity(h: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64)), pa.array(longs))
 
 
-def set_rows(nodes: np.ndarray, sizes: np.ndarray, h: np.ndarray, owner: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch | None:
-    """Rows of SETS for the sets whose node may be wanted, each node once. h: elements by owner, sorted."""
+def set_rows(nodes: np.ndarray, sizes: np.ndarray, h: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch | None:
+    """Rows of SETS for the sets whose node may be wanted, each node once. h: elements, sorted, by owner."""
     own = np.flatnonzero(wanted[slot_of(nodes, len(wanted))] > 0)
     if len(own):
         own = own[np.unique(nodes[own], return_index=True)[1]]
-        own.sort()
     if not len(own):
         return None
     low = np.concatenate([[0], np.cumsum(sizes)])
     pick = np.concatenate([h[low[i] : low[i + 1]] for i in own.tolist()])
-    count = sizes[own]
-    at = (np.concatenate([[0], np.cumsum(count)]) * 8).astype(np.int32)
+    at = (np.concatenate([[0], np.cumsum(sizes[own])]) * 8).astype(np.int32)
     items = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(at), pa.py_buffer(pick.tobytes())])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(nodes[own]), pa.array(count, pa.int32()), items, parity(pick, np.repeat(np.arange(len(own)), count), len(own))], ["node", "size", "items", "sketch"]
-    )
+    return pa.RecordBatch.from_arrays([pa.array(nodes[own]), items], ["node", "items"])
+
+
+class Sets:
+    """Sets fetched so far. `fetch(wanted)` reads the corpus for the nodes that pass the filter `wanted`."""
+
+    def __init__(self, fetch: Callable[[np.ndarray], DataFrame]):
+        self.fetch, self.have = fetch, None
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, items), of these nodes at least: one more pass over the texts if some are missing."""
+        missing = nodes if self.have is None else nodes.join(self.have.select("node"), "node", "left_anti")
+        missing = cut(missing, "missing")
+        if self.have is None or not missing.isEmpty():
+            found = self.fetch(node_filter(missing)).join(missing, "node", "left_semi")
+            found = cut(found.groupBy("node").agg(F.first("items").alias("items")), "sets")
+            self.have = found if self.have is None else self.have.unionByName(found)
+        forget(missing)
+        return self.have
 
 
 def bound(a: Column, b: Column, percent: int) -> Column:
@@ -168,14 +183,14 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sketches: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """(a, b) -> (a, b, distance, linked): exact symmetric difference where the sketches allow a link, else their bound."""
-    light = sets.select("node", "size", "sketch")
-    one, two = light.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("sketch").alias("ka")), light.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
+    one, two = (sketches.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", hamming(F.col("ka"), F.col("kb")).alias("low"))
     near = cut(near.withColumn("far", F.col("low") > bound(F.col("sa"), F.col("sb"), percent)), "near")
-    full = sets.select("node", "items")
-    both = near.where("not far").join(full.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
+    maybe = near.where("not far").select("a", "b")
+    full = sets.of(maybe.select(F.col("a").alias("node")).unionByName(maybe.select(F.col("b").alias("node"))).distinct())
+    both = maybe.join(full.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
     both = both.join(full.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b").select("a", "b", "ia", "ib")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +208,11 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return exact.unionByName(near.where("far").select("a", "b", F.col("low").cast("int").alias("distance"), F.lit(False).alias("linked")))
 
 
-def link(postings: DataFrame, sets: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+def link(postings: DataFrame, sketches: DataFrame, sets: Sets, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect all linked nodes, and the components (node, root) they make.
 
+    sketches: (node, size, sketch) of all nodes of the postings, each once.
+
     Complete for components: two nodes that share a key and are linked are in one component. First every node of a key
     is compared with the least one, then with the one that has most links; then nodes of a key that are still in
     different components are compared, unless their sizes, their distances to the common centre (triangle inequality)
@@ -205,7 +222,7 @@ def link(postings: DataFrame, sets: DataFrame, percent: int = 75) -> tuple[DataF
     p = cut(postings.join(keep.select("key", "centre"), "key"), "postings")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = p.where("node <> centre").select(*pair(F.col("node"), F.col("centre"))).distinct()
-    tested = cut(verify(star, sets, percent), "tested")
+    tested = cut(verify(star, sketches, sets, percent), "tested")
     good = tested.where("linked")
     degree = good.select(F.col("a").alias("node")).unionByName(good.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("deg"))
     roots = cut(connected_components(good.select("a", "b")), "roots")
@@ -220,7 +237,7 @@ def link(postings: DataFrame, sets: DataFrame, percent: int = 75) -> tuple[DataF
     best = ranked.groupBy("key").agg(F.max(F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), F.col("node"))).alias("m")).select("key", F.col("m.node").alias("best"))
     second = left.drop("centre").join(best, "key").select("key", "node", "size", "best")
     star = second.where("node <> best").select(*pair(F.col("node"), F.col("best"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(verify(star, sets, percent), "tested")
+    more = cut(verify(star, sketches, sets, percent), "tested")
     known = tested.unionByName(more)
     good = known.where("linked").select("a", "b")
     roots = cut(connected_components(good), "roots")
@@ -228,7 +245,7 @@ def link(postings: DataFrame, sets: DataFrame, percent: int = 75) -> tuple[DataF
     a, b = pair(F.col("node"), F.col("best"))
     left = left.withColumn("a", a).withColumn("b", b).join(known.select("a", "b", F.col("distance").alias("d")), ["a", "b"], "left")
     left = left.select("key", "node", "size", "root", F.when(F.col("node") == F.col("best"), 0).otherwise(F.col("d")).alias("d"), (F.col("node") == F.col("best")).alias("centre"))
-    left = left.join(sets.select("node", "sketch"), "node").where("not centre")
+    left = left.where("not centre").join(sketches.select("node", "sketch"), "node")
     left = cut(left, "open")
     x, y = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns]), left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
     most = bound(F.col("x_size"), F.col("y_size"), percent)
@@ -240,7 +257,7 @@ def link(postings: DataFrame, sets: DataFrame, percent: int = 75) -> tuple[DataF
         & (hamming(F.col("x_sketch"), F.col("y_sketch")) <= most)
     )
     cross = x.join(y, fits).select(*pair(F.col("x_node"), F.col("y_node"))).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    last = cut(verify(cross, sets, percent).where("linked").select("a", "b"), "tested")
+    last = cut(verify(cross, sketches, sets, percent).where("linked").select("a", "b"), "tested")
     links = cut(good.unionByName(last), "links")
     out = cut(connected_components(links), "roots")
     forget(p, left, roots, last)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import LOW52, SPACED, blocks, distinct, hash_spans, mix, shingles, tally, texts, words
 from .common import cut
-from .linkage import PACKED, SETS, buckets_for, link, merge_tables, node_filter, pack, set_rows, shared_postings, table_rows, table_size
+from .linkage import PACKED, SETS, Sets, buckets_for, link, merge_tables, pack, parity, set_rows, shared_postings, table_rows, table_size
 
 WORDS, PERCENT = 5, 75
 #: Of 52 hash bits, those within a segment; sets of DENSE and more elements have segments of single bits.
@@ -31,6 +31,8 @@ SEGMENT, DENSE = 28, 1 << 20
 BAND = 4
 #: Keys that stand at this level of counts (1 + log2) are spread over buckets.
 HOT = 11
+#: Bytes of text worked on at once, and keys sent on at once.
+BLOCK, FLUSH = 1 << 20, 1 << 19
 
 
 def sets_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,27 +76,27 @@ def keys_of(h: np.ndarray, text: np.ndarray, size: np.ndarray, node: np.ndarray,
 
 
 def describe(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, node) of every document, and this task's counts of shingles by hashed bin."""
+    """Rows of two kinds: (doc_id, n, node, sketch) of every document, and this task's counts of shingles by hashed bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         table, shift = np.zeros(size, np.uint8), np.uint64(52 - (size.bit_length() - 1))
-        names = ["doc_id", "n", "node", "block", "part", "counts"]
+        names = ["doc_id", "n", "node", "sketch", "block", "part", "counts"]
         for batch in batches:
             data, at = texts(batch.column(1))
-            for i, j in blocks(at):
-                h, _, n, node = sets_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            for i, j in blocks(at, BLOCK):
+                h, text, n, node = sets_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 bins, more = tally(h >> shift)
                 bins = bins.astype(np.int64)
                 table[bins] = np.minimum(table[bins] + more, 255)
                 none = [pa.nulls(j - i, t) for t in (pa.int32(), pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int32()), pa.array(node), *none], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int32()), pa.array(node), parity(h, text, j - i), *none], names)
         rows = table_rows(table, TaskContext.get().partitionId())
-        none = [pa.nulls(rows.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int64())]
+        none = [pa.nulls(rows.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*none, *rows.columns], names)
 
-    return docs.mapInArrow(run, "doc_id long, n int, node long, block int, part int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n int, node long, sketch array<bigint>, block int, part int, counts binary")
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -111,25 +113,34 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = texts(batch.column(0))
-            got = [keys_of(*sets_of(data[at[i] : at[j]], at[i : j + 1] - at[i]), levels.value, percent) for i, j in blocks(at)]
-            if got:
-                yield from pack(*(np.concatenate(x) for x in zip(*got, strict=True)), buckets)
+            got, n = [], 0
+            for i, j in blocks(at, BLOCK):
+                got.append(keys_of(*sets_of(data[at[i] : at[j]], at[i : j + 1] - at[i]), levels.value, percent))
+                n += len(got[-1][0])
+                if n >= FLUSH or j == len(at) - 1:
+                    yield from pack(*(np.concatenate(x) for x in zip(*got, strict=True)), buckets)
+                    got, n = [], 0
 
     postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared")
-    wanted = spark.sparkContext.broadcast(node_filter(postings.select("node").distinct()))
+    shared = postings.select("node").distinct()
+    known = described.where("block is null").select("node", F.col("n").alias("size"), "sketch").join(shared, "node", "left_semi")
+    sketches = cut(known.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = texts(batch.column(0))
-            for i, j in blocks(at):
-                h, text, n, node = sets_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                rows = set_rows(node, n, h, text, wanted.value)
-                if rows is not None:
-                    yield rows
+    def fetch(wanted: np.ndarray) -> DataFrame:
+        table = spark.sparkContext.broadcast(wanted)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, at = texts(batch.column(0))
+                for i, j in blocks(at, BLOCK):
+                    h, _, n, node = sets_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                    rows = set_rows(node, n, h, table.value)
+                    if rows is not None:
+                        yield rows
+
+        return docs.select("text").mapInArrow(run, SETS)
 
-    found = docs.select("text").mapInArrow(fetch, SETS)
-    sets = cut(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "items", "sketch")]), "sets")
-    _, roots = link(postings, sets, percent)
+    _, roots = link(postings, sketches, Sets(fetch), percent)
     return members, roots
 
 

@@ -1,4 +1,493 @@
-"""Catalogue of the engine's own queries over the driver's tables."""
+"""Catalogue of the engine's own queries over the driver's tables, with equivalent SQL.
 
+`documents` stand for files (path source/doc_id.lang, project source) and for chunks (one a document), `embeddings` for
+their vectors (vec_id is the doc_id, label the symbol type).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import Chunking
+from .functions import ids, text, vector
+from .operators import changes, chunking, mutations, retrieval, stats
+from .plans.session import outline
+from .sources.files import document_files
+
+WINDOWS = Chunking(min_lines=2, max_lines=10, overlap_lines=2)
+QUERY, EXCLUDE = "the worthless", ["*/1*.en", "src7"]
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return document_files(_t(spark, d, "documents"))
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d).withColumn("chunk_id", F.col("doc_id").cast("string"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("symbol_type"))
+
+
+def _asked(spark: SparkSession, d: str) -> list[float]:
+    """The query vector: that of the least vec_id."""
+    return list(_t(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0])
+
+
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.sliding_chunks(_files(spark, d), WINDOWS)
+
+
+PATH = "source || '/' || doc_id || '.' || lang"
+FILES = f"files AS (SELECT {PATH} AS file_path, sha256(text) AS sha256, 1.7e9 + doc_id AS mtime, strftime(to_timestamp(1700000000 + doc_id * 60) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS indexed_at, source AS project_name, lang AS language, text AS content, doc_id FROM documents)"
+UUID = (
+    "substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || translate(substr(h,17,1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h,18,3) || '-' || substr(h,21,12)"
+)
+NS = f"unhex('{ids.NAMESPACE}')"
+WIN = f"""{FILES}, l AS (SELECT *, CASE WHEN ends_with(content, chr(10)) THEN list_slice(p, 1, len(p) - 1) ELSE p END AS ls
+  FROM (SELECT *, CASE WHEN content = '' THEN [] ELSE string_split(content, chr(10)) END AS p FROM files)),
+s AS (SELECT *, unnest(range(0, len(ls), 8)) AS st FROM l),
+w AS (SELECT *, list_slice(ls, st + 1, st + 10) AS part, st + len(list_slice(ls, st + 1, st + 10)) AS en FROM s),
+windows AS (SELECT file_path, language, project_name, CAST(st + 1 AS INTEGER) AS start_line, CAST(en AS INTEGER) AS end_line,
+  array_to_string(part, chr(10)) || CASE WHEN en < len(ls) OR ends_with(content, chr(10)) THEN chr(10) ELSE '' END AS content,
+  {UUID.replace("h,", f"sha1({NS} || encode(file_path || ':' || (st + 1) || ':' || en)),")} AS chunk_id FROM w WHERE len(part) >= 2)"""
+TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+def bm25_sql(words: list[str], mode: str = "all", where: str = "true") -> str:
+    n = range(len(words))
+    f = ", ".join(f"len(list_filter(tok, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(words))
+    d = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS d{i}" for i in n)
+    idf = lambda i: f"CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) > 0 THEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) ELSE 1e-6 END"
+    score = " + ".join(f"({idf(i)}) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in n)
+    match = (" AND " if mode == "all" else " OR ").join(f"f{i} > 0" for i in n)
+    return f"""b AS (SELECT doc_id, source, lang, len(tok) AS dl, {f} FROM (SELECT *, {TOK.format("text")} AS tok FROM documents)),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {d} FROM b),
+sparse AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, round({score}, 9) AS score FROM b, st WHERE ({match}) AND {where}),
+sparse_top AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sparse)"""
+
+
+def dense_sql(where: str = "true") -> str:
+    return f"""q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1),
+dense AS (SELECT CAST(vec_id AS VARCHAR) AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS score FROM embeddings, q WHERE {where}),
+dense_top AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM dense)"""
+
+
+def fused_sql(alpha: float, k: int = 20) -> str:
+    return f"""fused AS (SELECT chunk_id, round(sum(part), 9) AS score, min(src * 100000 + rank) AS o FROM (
+  SELECT chunk_id, 0 AS src, rank, CAST({alpha} AS DOUBLE) / (60 + rank) AS part FROM dense_top WHERE rank <= {2 * k}
+  UNION ALL SELECT chunk_id, 1, rank, CAST({round(1 - alpha, 9)} AS DOUBLE) / (60 + rank) FROM sparse_top WHERE rank <= {2 * k}) GROUP BY chunk_id),
+best AS (SELECT chunk_id, score, CAST(row_number() OVER (ORDER BY score DESC, o, chunk_id) AS INTEGER) AS rank FROM fused)"""
+
+
+# scans and projections
+
+
+@query("SELECT source || '/' || doc_id || '.' || lang AS file_path, source AS project_name, lang AS language, n_chars FROM documents WHERE source IN ('src1', 'src2')")
+def scan_documents(spark, d):
+    docs = _t(spark, d, "documents").where(F.col("source").isin("src1", "src2"))
+    return docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang")).alias("file_path"), F.col("source").alias("project_name"), F.col("lang").alias("language"), "n_chars")
+
+
+@query("SELECT doc_id, source, lang, text FROM documents WHERE doc_id = 42")
+def get_chunk(spark, d):
+    return _t(spark, d, "documents").where("doc_id = 42").select("doc_id", "source", "lang", "text")
+
+
+@query("SELECT CAST(i.pos AS INTEGER) AS pos, d.doc_id, d.lang FROM (VALUES (0, 7), (1, 3), (2, -5), (3, 42)) AS i(pos, id) JOIN documents d ON d.doc_id = i.id ORDER BY 1")
+def get_chunks_by_ids(spark, d):
+    wanted = spark.createDataFrame([([7, 3, -5, 42],)], "ids array<long>").select(F.posexplode("ids").alias("pos", "doc_id"))
+    return _t(spark, d, "documents").join(F.broadcast(wanted), "doc_id").select("pos", "doc_id", "lang").orderBy("pos")  # four ids
+
+
+@query(f"WITH {WIN} SELECT chunk_id, start_line, end_line FROM windows WHERE project_name = 'src7' ORDER BY file_path, start_line")
+def file_symbols(spark, d):
+    files = _files(spark, d).where("project_name = 'src7'")
+    return chunking.sliding_chunks(files, WINDOWS).orderBy("file_path", "start_line").select("chunk_id", "start_line", "end_line")
+
+
+@query(f"WITH {WIN} SELECT file_path, count(*) AS n, string_agg(chunk_id, ',' ORDER BY chunk_id) AS ids FROM windows GROUP BY file_path")
+def file_chunk_ids(spark, d):
+    return _windows(spark, d).groupBy("file_path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("ids"))
+
+
+@query(f"WITH {WIN} SELECT 'code' AS type, '' AS name, start_line AS line, '' AS namespace FROM windows WHERE file_path = (SELECT min(file_path) FROM files WHERE contains(file_path, 'rc3/')) ORDER BY line")
+def outline_partial_path(spark, d):
+    return outline(_windows(spark, d), _files(spark, d), "rc3/")
+
+
+@query(f"WITH {bm25_sql(QUERY.split())} SELECT t.chunk_id, round(score, 6) AS score, source || '/' || doc_id || '.' || lang AS file_path, lang AS language, substr(text, 1, 1000) AS content FROM sparse_top t JOIN documents ON CAST(doc_id AS VARCHAR) = chunk_id WHERE rank <= 20")
+def search_result_projection(spark, d):
+    c = _chunks(spark, d)
+    best = retrieval.top(retrieval.bm25(c, QUERY), 20)
+    return c.join(F.broadcast(best), "chunk_id").select("chunk_id", F.round("score", 6).alias("score"), "file_path", "language", F.substring("content", 1, 1000).alias("content"))  # 20 rows
+
+
+@query()
+def search_to_json(spark, d):
+    return search_result_projection(spark, d).select(F.to_json(F.struct("*")).alias("json"))
+
+
+# scalars
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def file_sha256(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash FROM documents")
+def content_hash(spark, d):
+    return _t(spark, d, "documents").select("doc_id", ids.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(f"SELECT doc_id, CAST(CAST('0x' || substr(md5({PATH}), 1, 16) AS UBIGINT) AS VARCHAR) AS point_id FROM documents")
+def point_id(spark, d):
+    return _files(spark, d).select("doc_id", ids.point_id(F.col("file_path")).cast("string").alias("point_id"))
+
+
+@query(f"SELECT doc_id, {UUID.replace('h,', f'''sha1({NS} || encode({PATH} || ':1:' || n_chars)),''')} AS chunk_id FROM documents")
+def chunk_id(spark, d):
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
+    return _t(spark, d, "documents").select("doc_id", ids.chunk_id(path, F.lit(1), F.col("n_chars")).alias("chunk_id"))
+
+
+@query("SELECT e, CASE WHEN s IN ('.h', '.hpp', '.hxx', '.cxx', '.c') THEN 'cpp' ELSE ltrim(s, '.') END AS language, n FROM (SELECT event_type || x AS e, lower(regexp_extract(event_type || x, '(\\.[^./]+)$', 1)) AS s, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1), (VALUES ('.H'), ('.cpp'), ('.cs'), ('.hxx'), ('/noext'), ('.a.C')) AS v(x))")
+def language_of(spark, d):
+    kinds = _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    paths = kinds.select(F.explode(F.array(*[F.concat("event_type", F.lit(x)) for x in (".H", ".cpp", ".cs", ".hxx", "/noext", ".a.C")])).alias("e"), "n")
+    return paths.select("e", text.language_of(F.col("e")).alias("language"), "n")
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents)")
+def tokenize(spark, d):
+    t = _t(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query(f"WITH {dense_sql()} SELECT chunk_id, round(score, 6) AS score FROM dense")
+def cosine_similarity(spark, d):
+    return retrieval.dense(_vectors(spark, d), _asked(spark, d)).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, round(list_aggregate(list_transform(e, lambda x: abs(x) / sqrt(list_dot_product(e, e))), 'sum'), 6) AS total FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def l2_normalize(spark, d):
+    v = vector.l2_normalize(F.col("embedding"))
+    return _t(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x)), 6).alias("total"))
+
+
+# filters
+
+
+@query(f"SELECT {PATH} AS file_path FROM documents WHERE lower(regexp_extract({PATH}, '(\\.[^./]+)$', 1)) IN ('.en', '.de')")
+def filter_extension(spark, d):
+    return _files(spark, d).where(text.suffix(F.col("file_path")).isin(".en", ".de")).select("file_path")
+
+
+@query(f"SELECT file_path FROM (SELECT {PATH} AS file_path, source FROM documents) WHERE NOT (file_path GLOB '*/1*.en' OR source GLOB '*/1*.en' OR file_path GLOB 'src7' OR source GLOB 'src7')")
+def filter_exclude_glob(spark, d):
+    return _files(spark, d).where(~text.excluded(F.col("file_path"), EXCLUDE)).select("file_path")
+
+
+@query(f"SELECT file_path FROM (SELECT {PATH} AS file_path FROM documents) WHERE file_path = 'src1' OR starts_with(file_path, 'src1/')")
+def path_scope(spark, d):
+    return _files(spark, d).where(text.in_scope(F.col("file_path"), "src1//")).select("file_path")
+
+
+@query(f"WITH {dense_sql()} SELECT chunk_id, round(score, 6) AS score FROM dense WHERE score >= 0.1")
+def min_score_filter(spark, d):
+    return retrieval.dense(_vectors(spark, d), _asked(spark, d)).where("score >= 0.1").select("chunk_id", F.round("score", 6).alias("score"))
+
+
+# chunking
+
+
+@query(f"WITH {WIN} SELECT chunk_id, file_path, start_line, end_line, content, substr(sha256(content), 1, 16) AS content_hash FROM windows")
+def sliding_chunks(spark, d):
+    return _windows(spark, d).select("chunk_id", "file_path", "start_line", "end_line", "content", "content_hash")
+
+
+def _symbols(spark, d):
+    """Documents as symbols: a document is a function of all its lines; German ones are methods of class K."""
+    f = _files(spark, d).withColumn("n", F.size(F.split("content", "\n", -1)))
+    return f.select("file_path", "language", "project_name", F.when(F.col("language") == "de", "method").otherwise("function").alias("symbol_type"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("symbol_name"), F.when(F.col("language") == "de", "K").otherwise("").alias("parent_class"), F.lit("").alias("namespace"), F.lit(1).alias("start_line"), F.col("n").alias("end_line"), "content")
+
+
+SYM = f"""{FILES}, y AS (SELECT *, string_split(content, chr(10)) AS ls, CASE WHEN language = 'de' THEN 'method' ELSE 'function' END AS kind,
+  '// File: ' || file_path || CASE WHEN language = 'de' THEN ' | class: K | method: f' ELSE ' | function: f' END || doc_id AS head FROM files),
+kept AS (SELECT *, len(ls) AS n FROM y WHERE len(ls) >= 2 OR language = 'de'),
+parts AS (SELECT *, unnest(CASE WHEN n <= 10 THEN [-1] ELSE range(0, n, 8) END) AS st FROM kept),
+made AS (SELECT file_path, CAST(CASE WHEN st < 0 THEN 1 ELSE 1 + st END AS INTEGER) AS start_line, CAST(CASE WHEN st < 0 THEN n ELSE least(n, st + 10) END AS INTEGER) AS end_line,
+  CASE WHEN st < 0 THEN head || chr(10) || content ELSE head || ' (part ' || (st // 8 + 1) || '/' || len(range(0, n, 8)) || ')' || chr(10) || array_to_string(list_slice(ls, st + 1, st + 10), chr(10)) END AS content FROM parts)"""
+
+
+@query(f"WITH {SYM} SELECT file_path, start_line, end_line, content FROM made")
+def split_parts(spark, d):
+    return chunking.symbol_chunks(_symbols(spark, d), WINDOWS).select("file_path", "start_line", "end_line", "content")
+
+
+@query(f"WITH {SYM} SELECT file_path, start_line, string_split(content, chr(10))[1] AS header FROM made")
+def chunk_header(spark, d):
+    return chunking.symbol_chunks(_symbols(spark, d), WINDOWS).select("file_path", "start_line", F.substring_index("content", "\n", 1).alias("header"))
+
+
+def _ranges(spark, d):
+    """Line items as line ranges of an order: function and class chunks that overlap in many ways."""
+    li = _t(spark, d, "lineitem")
+    start = F.col("l_linenumber").cast("int")
+    kind = F.element_at(F.array(*map(F.lit, ("class", "struct", "function", "method", "interface"))), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return li.select(F.col("l_orderkey").cast("string").alias("file_path"), key.alias("chunk_id"), start.alias("start_line"), (start + F.col("l_quantity").cast("int")).alias("end_line"), kind.alias("symbol_type"), F.when(F.col("l_partkey") % 2 == 0, "").otherwise("P").alias("parent_class"))
+
+
+RANGES = "r AS (SELECT CAST(l_orderkey AS VARCHAR) AS file_path, l_orderkey || '-' || l_linenumber AS chunk_id, CAST(l_linenumber AS INTEGER) AS s, CAST(l_linenumber + CAST(trunc(l_quantity) AS INTEGER) AS INTEGER) AS e, ['class', 'struct', 'function', 'method', 'interface'][CAST(l_suppkey % 5 + 1 AS INTEGER)] AS kind, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'P' END AS parent FROM lineitem), p AS (SELECT *, CASE kind WHEN 'function' THEN 0 WHEN 'method' THEN 0 WHEN 'struct' THEN 1 WHEN 'interface' THEN 1 ELSE 2 END AS k FROM r)"
+RATIO = "CASE WHEN least(a.e, b.e) - greatest(a.s, b.s) + 1 > 0 THEN (least(a.e, b.e) - greatest(a.s, b.s) + 1) / least(a.e - a.s + 1, b.e - b.s + 1) ELSE 0 END"
+
+
+@query(f"WITH {RANGES} SELECT a.file_path, a.chunk_id AS a_chunk_id, b.chunk_id AS b_chunk_id, round({RATIO}, 6) AS ratio FROM p a JOIN p b ON a.file_path = b.file_path AND a.chunk_id < b.chunk_id WHERE round({RATIO}, 6) >= 0.8")
+def overlap_pairs(spark, d):
+    return chunking.overlap_pairs(_ranges(spark, d)).select("file_path", "a_chunk_id", "b_chunk_id", "ratio")
+
+
+@query(f"WITH {RANGES}, s1 AS (SELECT * FROM p a WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.k = 0 AND b.parent = '' AND b.file_path = a.file_path AND {RATIO} >= 0.8)), top AS (SELECT * FROM p WHERE k = 0 UNION ALL SELECT * FROM s1) SELECT chunk_id, kind AS symbol_type FROM top UNION ALL SELECT chunk_id, kind FROM p a WHERE k = 2 AND NOT EXISTS (SELECT 1 FROM top b WHERE b.parent = '' AND b.file_path = a.file_path AND {RATIO} >= 0.8)")
+def dedupe_overlaps(spark, d):
+    return chunking.dedupe_overlaps(_ranges(spark, d)).select("chunk_id", "symbol_type")
+
+
+# changes and sets
+
+
+def _snapshots(spark, d):
+    """Now: without project src5, French files rewritten. Indexed: without project src3."""
+    f = _files(spark, d).select("file_path", "mtime", "sha256", "project_name", "language")
+    french = F.col("language") == "fr"
+    now = f.where("project_name <> 'src5'").withColumn("mtime", F.col("mtime") + F.when(french, 5.0).otherwise(0.001)).withColumn("sha256", F.when(french, F.reverse("sha256")).otherwise(F.col("sha256")))
+    return now, f.where("project_name <> 'src3'")
+
+
+DIFF = f"""{FILES}, cur AS (SELECT file_path, CASE WHEN language = 'fr' THEN mtime + 5 ELSE mtime + 0.001 END AS mtime, CASE WHEN language = 'fr' THEN reverse(sha256) ELSE sha256 END AS sha256 FROM files WHERE project_name <> 'src5'),
+old AS (SELECT file_path, mtime, sha256 FROM files WHERE project_name <> 'src3'),
+diff AS (SELECT file_path, 'new' AS status FROM cur WHERE file_path NOT IN (SELECT file_path FROM old) UNION ALL SELECT file_path, 'deleted' FROM old WHERE file_path NOT IN (SELECT file_path FROM cur)
+ UNION ALL SELECT c.file_path, 'modified' FROM cur c JOIN old o USING (file_path) WHERE abs(c.mtime - o.mtime) >= 0.01 AND c.sha256 <> o.sha256)"""
+
+
+@query(f"WITH {DIFF} SELECT file_path, status FROM diff")
+def detect_changes(spark, d):
+    return changes.detect_changes(*_snapshots(spark, d))
+
+
+@query(f"WITH {DIFF} SELECT status, count(*) AS n FROM diff GROUP BY status")
+def change_summary(spark, d):
+    return changes.change_summary(detect_changes(spark, d))
+
+
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+def setop_intersect(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).intersect(_t(spark, d, "orders").select("o_custkey"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def setop_except(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).join(_t(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti").distinct()
+
+
+@query("SELECT DISTINCT source AS project_name FROM documents WHERE source <> '' AND source NOT IN ('src1', 'src2', 'src4')")
+def deleted_projects(spark, d):
+    return changes.deleted_projects(_files(spark, d), spark.createDataFrame([("src1",), ("src2",), ("src4",)], "project_name string"))
+
+
+@query("SELECT DISTINCT source AS project_name FROM documents WHERE source <> ''")
+def distinct_projects(spark, d):
+    return _files(spark, d).where("project_name <> ''").select("project_name").distinct()
+
+
+# figures
+
+
+@query(f"WITH {WIN} SELECT (SELECT count(*) FROM files) AS total_files, (SELECT count(*) FROM windows) AS total_chunks")
+def index_stats(spark, d):
+    return stats.index_stats(_files(spark, d), _windows(spark, d))
+
+
+ROOTS = ("src1", "src2/", "src10", "none")
+
+
+@query(f"WITH {WIN}, c AS (SELECT file_path, count(*) AS k FROM windows GROUP BY file_path), j AS (SELECT files.*, coalesce(k, 0) AS k FROM files LEFT JOIN c USING (file_path)) SELECT p AS source_path, count(file_path) AS files, CAST(coalesce(sum(k), 0) AS BIGINT) AS chunks, max(indexed_at) AS last_indexed FROM (VALUES ('src1'), ('src2/'), ('src10'), ('none')) AS v(p) LEFT JOIN j ON starts_with(file_path, rtrim(p, '/') || '/') GROUP BY p")
+def project_stats(spark, d):
+    roots = spark.createDataFrame([(r,) for r in ROOTS], "source_path string")
+    files = _files(spark, d).withColumn("indexed_at", F.date_format("indexed_at", "yyyy-MM-dd HH:mm:ss"))
+    return stats.project_stats(roots, files, _windows(spark, d))
+
+
+@query("SELECT count(*) AS entries, round(coalesce(sum(4 * len(embedding)), 0) / (1024 * 1024), 1) AS size_mb FROM embeddings")
+def cache_stats(spark, d):
+    return stats.cache_stats(_t(spark, d, "embeddings").withColumnRenamed("embedding", "vector"))
+
+
+@query("SELECT count(*) AS points FROM embeddings")
+def vector_count(spark, d):
+    return _t(spark, d, "embeddings").agg(F.count("*").alias("points"))
+
+
+@query(f"SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT token, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS token FROM documents) GROUP BY 1, 2) GROUP BY 1")
+def term_stats(spark, d):
+    return retrieval.term_stats(retrieval.postings(_chunks(spark, d)))
+
+
+# retrieval
+
+
+@query(f"WITH {dense_sql()} SELECT chunk_id, round(score, 6) AS score, rank FROM dense_top WHERE rank <= 40")
+def dense_topk(spark, d):
+    return retrieval.top(retrieval.dense(_vectors(spark, d), _asked(spark, d)), 40).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {dense_sql('label = 3')} SELECT chunk_id, round(score, 6) AS score, rank FROM dense_top WHERE rank <= 40")
+def dense_topk_filtered(spark, d):
+    return retrieval.top(retrieval.dense(_vectors(spark, d), _asked(spark, d), F.col("symbol_type") == "3"), 40).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {bm25_sql(QUERY.split())} SELECT chunk_id, round(score, 6) AS score, rank FROM sparse_top WHERE rank <= 40")
+def bm25_topk(spark, d):
+    return retrieval.top(retrieval.bm25(_chunks(spark, d), QUERY), 40).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {bm25_sql(['the', 'with'], 'any', '''source = 'src1' AND lang = 'en' ''')} SELECT chunk_id, round(score, 6) AS score, rank FROM sparse_top WHERE rank <= 40")
+def bm25_topk_filtered(spark, d):
+    where = (F.col("project_name") == "src1") & (F.col("language") == "en")
+    return retrieval.top(retrieval.bm25(_chunks(spark, d), "the with", "any", where), 40).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _fused(spark, d, alpha):
+    dense = retrieval.top(retrieval.dense(_vectors(spark, d), _asked(spark, d)), 40)
+    return retrieval.rrf(dense, retrieval.top(retrieval.bm25(_chunks(spark, d), QUERY), 40), alpha)
+
+
+@query(f"WITH {dense_sql()}, {bm25_sql(QUERY.split())}, {fused_sql(0.7)} SELECT chunk_id, round(score, 6) AS score FROM fused")
+def rrf_fuse(spark, d):
+    return _fused(spark, d, 0.7).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+def _hybrid_sql(alpha: float) -> str:
+    return f"WITH {dense_sql()}, {bm25_sql(QUERY.split())}, {fused_sql(alpha)} SELECT chunk_id, round(score, 6) AS score, rank, {PATH} AS file_path, lang AS language, text AS content FROM best JOIN documents ON CAST(doc_id AS VARCHAR) = chunk_id WHERE rank <= 20"
+
+
+def _hybrid(spark, d, alpha):
+    found = retrieval.hybrid_search(_chunks(spark, d), _vectors(spark, d), QUERY, _asked(spark, d), 20, alpha)
+    return found.select("chunk_id", F.round("score", 6).alias("score"), "rank", "file_path", "language", "content")
+
+
+@query(_hybrid_sql(0.7))
+def hybrid_search(spark, d):
+    return _hybrid(spark, d, 0.7)
+
+
+@query(_hybrid_sql(1.0))
+def hybrid_dense_only(spark, d):
+    return _hybrid(spark, d, 1.0)
+
+
+@query(_hybrid_sql(0.0))
+def hybrid_sparse_only(spark, d):
+    return _hybrid(spark, d, 0.0)
+
+
+BATCH = f"""asked AS (SELECT DISTINCT item_id, unnest({TOK.format("text")}) AS token FROM benchmark),
+posted AS (SELECT token, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format("text")}) AS token FROM documents) GROUP BY 1, 2),
+lens AS (SELECT doc_id, sum(tf) AS dl FROM posted GROUP BY 1), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens), df AS (SELECT token, count(*) AS df FROM posted GROUP BY 1),
+sc AS (SELECT item_id, doc_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+  FROM asked JOIN posted USING (token) JOIN df USING (token) JOIN lens USING (doc_id), s GROUP BY 1, 2),
+rk AS (SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS INTEGER) AS rank FROM sc)"""
+
+
+def _batch(spark, d):
+    posted = retrieval.postings(_chunks(spark, d))
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("int").alias("top_k"))
+    return retrieval.query_batch(posted, retrieval.doc_lengths(posted), asked, 10)
+
+
+@query(f"WITH {BATCH} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
+def query_batch(spark, d):
+    return _batch(spark, d).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {BATCH}, e AS (SELECT item_id AS query_id, lower(string_split(text, ' ')[1]) AS want FROM benchmark) SELECT query_id, count(first_rank) > 0 AS hit, min(first_rank) AS first_rank FROM (SELECT e.query_id, CASE WHEN contains(lower(text), want) THEN rank END AS first_rank FROM e LEFT JOIN (SELECT * FROM rk WHERE rank <= 10) r ON r.query_id = e.query_id LEFT JOIN documents ON CAST(doc_id AS VARCHAR) = chunk_id) GROUP BY 1")
+def retrieval_eval(spark, d):
+    ranked = _batch(spark, d).join(_chunks(spark, d).select("chunk_id", "content"), "chunk_id")
+    expected = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 1).alias("expected_symbol"))
+    return retrieval.retrieval_eval(ranked, expected)
+
+
+@query(f"WITH {dense_sql()}, {bm25_sql(QUERY.split())}, {fused_sql(0.7)}, h AS (SELECT best.*, len(list_intersect(list_distinct({TOK.format('substr(text, 1, 512)')}), ['the', 'worthless'])) / 2 AS again FROM best JOIN documents ON CAST(doc_id AS VARCHAR) = chunk_id WHERE rank <= 20) SELECT chunk_id, round(again, 6) AS score, CAST(row_number() OVER (ORDER BY again DESC, rank) AS INTEGER) AS rank FROM h QUALIFY row_number() OVER (ORDER BY again DESC, h.rank) <= 8")
+def rerank(spark, d):
+    found = retrieval.hybrid_search(_chunks(spark, d), _vectors(spark, d), QUERY, _asked(spark, d), 20, 0.7)
+    return retrieval.rerank(found, QUERY, 8).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+# tables and their changes
+
+
+def _cache(spark, d):
+    """Hashes of the English documents, as if embedded before."""
+    return _files(spark, d).where("language = 'en'").select(ids.content_hash(F.col("content")).alias("content_hash")).distinct()
+
+
+HASHED = "h AS (SELECT *, substr(sha256(text), 1, 16) AS ch FROM documents)"
+
+
+@query(f"WITH {HASHED} SELECT DISTINCT ch AS content_hash, text AS content FROM h WHERE ch NOT IN (SELECT ch FROM h WHERE lang = 'en')")
+def embed_cache_miss(spark, d):
+    chunks = _chunks(spark, d).withColumn("content_hash", ids.content_hash(F.col("content")))
+    return mutations.cache_misses(chunks, _cache(spark, d)).select("content_hash", "content")
+
+
+@query(f"WITH {HASHED} SELECT DISTINCT ch AS content_hash FROM h WHERE lang = 'en' AND ch IN (SELECT ch FROM h WHERE source <> 'src1')")
+def cache_gc(spark, d):
+    used = _files(spark, d).where("project_name <> 'src1'").select(ids.content_hash(F.col("content")).alias("content_hash"))
+    return mutations.cache_gc(_cache(spark, d), used)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CASE WHEN lang = 'fr' THEN upper(text) ELSE text END AS content FROM documents")
+def upsert_chunks(spark, d):
+    old = _chunks(spark, d).select("chunk_id", "content")
+    french = _chunks(spark, d).where("language = 'fr'")
+    both = french.select("chunk_id", "content", F.lit(1).alias("seq")).unionByName(french.select("chunk_id", F.upper("content").alias("content"), F.lit(2).alias("seq")))
+    return mutations.upsert(old, mutations.latest(both, "chunk_id", "seq"), "chunk_id")
+
+
+@query(f"WITH {FILES} SELECT file_path, sha256, CASE WHEN language = 'de' THEN mtime + 9 ELSE mtime END AS mtime FROM files")
+def upsert_files(spark, d):
+    f = _files(spark, d)
+    new = f.where("language = 'de'").withColumn("mtime", F.col("mtime") + 9)
+    return mutations.upsert(f, new, "file_path").select("file_path", "sha256", "mtime")
+
+
+@query(f"WITH {FILES} SELECT file_path FROM files WHERE language <> 'es'")
+def delete_files(spark, d):
+    f = _files(spark, d)
+    return mutations.delete(f, f.where("language = 'es'"), "file_path").select("file_path")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS file_path, l_returnflag AS project_name FROM lineitem WHERE l_linenumber = 1 AND (l_returnflag <> 'R' OR l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'R'))")
+def delete_project(spark, d):
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("file_path"), F.col("l_returnflag").alias("project_name"), "l_linenumber")
+    return mutations.delete_project(rows.where("l_linenumber = 1").drop("l_linenumber"), rows.drop("l_linenumber"), "R")[0]

@@ -6,9 +6,9 @@ A conversation becomes one string. Grammar, in order of the turns:
     TAG  := "INST" (user) | "ASST" (assistant) | "SYS" (system) | "ROLE:" escaped role
     FLAG := "" (BODY is the text) | "~" (BODY is the escaped text)
 
-The parser is deterministic: leftmost, shortest match. A turn is first rendered as it is and reparsed; if the parser
-does not give back exactly that turn, the control strings in it are escaped; if that does not suffice either, every
-"<" and "[" is. Escapes: "\" -> "\s", "<" -> "\l", "[" -> "\b". As every rendered turn reparses to exactly itself,
+The parser is deterministic: leftmost, shortest match. A turn is first rendered as it is and reparsed; if it holds a
+control string or the parser does not give back exactly that turn, the control strings in it are escaped and it is
+reparsed; if that does not suffice either, every "<" and "[" is. Escapes: "\" -> "\s", "<" -> "\l", "[" -> "\b". As every rendered turn reparses to exactly itself,
 so does their concatenation.
 """
 
@@ -69,10 +69,10 @@ def format_turns(rows: DataFrame) -> DataFrame:
     base = base.withColumn("tag", _tag(F.col("role")))
     plain, one, two = F.col("text"), _escape_control(F.col("text")), _escape_every(F.col("text"))
     same = lambda r, b: (F.size(_all(r, 3)) == 1) & (_all(r, 3)[0] == b) & (_all(r, 0)[0] == r)
-    maybe = plain.contains("<s>") | plain.contains("</s>") | plain.contains("[")
+    control = plain.rlike(f"{CONTROL_LT}|{CONTROL_BR}")
     base = base.withColumn(
         "level",
-        F.when(~maybe | same(_render(F.col("tag"), "", plain), plain), 0)
+        F.when(~control & same(_render(F.col("tag"), "", plain), plain), 0)
         .when(same(_render(F.col("tag"), "~", one), one) & (_unescape(one) == plain), 1)
         .otherwise(2),
     )

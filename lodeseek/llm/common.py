@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -27,14 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lodeseek-"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that later work does not depend on lost executors.
 
-    The files go when the session ends, or earlier through `forget`.
+    The files go when the session ends, or earlier through `forget`. After a step with large shuffles, `tidy` lets
+    Spark delete their files now and not at some later collection.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeseek-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if tidy:  # shuffle files go once the driver has collected what refers to them
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(sc.hadoopConfiguration()).deleteOnExit(where)

@@ -160,12 +160,12 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 known = np.concatenate([known, node[one]])
                 for own, h, line, size in chunks(sums, first, final, one):
                     key = band_keys(signatures(h, line, len(own)))
-                    got.append((key.reshape(-1), np.repeat(node[own], BANDS), np.repeat(size, BANDS).astype(np.int32)))
+                    got.append((key.reshape(-1), np.repeat(node[own], BANDS)))
             if got:
-                keys, nodes, sizes = (np.concatenate(x) for x in zip(*got, strict=True))
-                yield from pack(keys, nodes, sizes, spread_of(keys), buckets)
+                keys, nodes = (np.concatenate(x) for x in zip(*got, strict=True))
+                yield from pack(keys, nodes, spread_of(keys), buckets)
 
-    postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared")
+    postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared", tidy=True)
 
     def read(wanted: np.ndarray, schema: str, make) -> DataFrame:
         """Rows of make(nodes, sizes, hashes, lines of these) for the lines that pass the filter, once a batch."""

@@ -19,7 +19,7 @@ from .bytetext import mix
 from .common import cut, forget, parts
 from .components import connected_components
 
-PACKED = "part int, keys binary, nodes binary, sizes binary"
+PACKED = "part int, keys binary, nodes binary, runs binary"
 SKETCHES = "node long, size int, sketch array<bigint>"
 SETS = "node long, items binary"
 #: Bits of the parity sketch.
@@ -28,47 +28,70 @@ BITS = 1024
 ENTRIES, LEAST, MOST = 1 << 16, 1 << 16, 1 << 26
 
 
-def pack(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Postings as rows of PACKED, by bucket of their key. Keys with hot > 0 are spread over that many buckets."""
-    spread = keys.copy()
+def pack(keys: np.ndarray, nodes: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Postings as rows of PACKED, by bucket of their key; a node with several keys in a bucket stands there once.
+
+    Keys with hot > 0 are spread over that many buckets; the lowest bit of a key says so.
+    """
     salted = hot > 0
+    keys = keys & ~np.uint64(1)
+    spread = keys.copy()
     spread[salted] += (mix(nodes[salted].view(np.uint64)) % hot[salted].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     part = (mix(spread) % np.uint64(buckets)).astype(np.int32)
-    sizes = np.where(salted, -sizes, sizes).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    keys, nodes, sizes, part = keys[order], nodes[order], sizes[order], part[order]
+    keys, nodes, part = (keys | salted.astype(np.uint64))[order], nodes[order], part[order]
+    run = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (nodes[1:] != nodes[:-1])])) if len(part) else np.zeros(0, np.int64)
+    length = np.diff(np.append(run, len(part))).astype(np.uint32)
     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    end = np.append(at[1:], len(part))
-    rows = [(int(part[i]), keys[i:j].tobytes(), nodes[i:j].tobytes(), sizes[i:j].tobytes()) for i, j in zip(at.tolist(), end.tolist(), strict=True)]
+    low = np.append(np.searchsorted(run, at), len(run)).tolist()
+    at = np.append(at, len(part)).tolist()
+    rows = []
+    for k in range(len(at) - 1):
+        single = low[k + 1] - low[k] == at[k + 1] - at[k]
+        lengths = b"" if single else length[low[k] : low[k + 1]].tobytes()
+        rows.append((int(part[at[k]]), keys[at[k] : at[k + 1]].tobytes(), nodes[run[low[k] : low[k + 1]]].tobytes(), lengths))
     if rows:
         p, k, n, s = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.binary()), pa.array(n, pa.binary()), pa.array(s, pa.binary())], ["part", "keys", "nodes", "sizes"])
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.binary()), pa.array(n, pa.binary()), pa.array(s, pa.binary())], ["part", "keys", "nodes", "runs"])
 
 
 def shared_postings(packed: DataFrame) -> DataFrame:
-    """(key, node, size) of the keys that two or more nodes of a bucket have, and of all spread keys."""
+    """(key, node) of the keys that two or more nodes of a bucket have, and of all spread keys.
+
+    Keys of the same nodes make the same candidates: unless it is spread, a key is replaced by a hash of its nodes.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        keys, nodes, sizes = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("sizes", np.int32)))
-        order = np.argsort(keys)
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
+        nodes = []
+        for n, r in zip(table["nodes"].to_pylist(), table["runs"].to_pylist(), strict=True):
+            n = np.frombuffer(n, np.int64)
+            nodes.append(np.repeat(n, np.frombuffer(r, np.uint32)) if r else n)
+        nodes = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
+        order = np.argsort(keys >> np.uint64(1))
         keys = keys[order]
-        same = keys[1:] == keys[:-1]
-        some = np.zeros(len(keys), bool)
+        same = (keys[1:] ^ keys[:-1]) < 2
+        some = (keys & np.uint64(1)) > 0
         some[1:] |= same
         some[:-1] |= same
-        order = order[some | (sizes[order] < 0)]
-        keys, nodes, sizes = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)[order], nodes[order], sizes[order]
-        order = np.lexsort((nodes, keys))
-        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
+        order, keys = order[some], keys[some]
+        nodes = nodes[order]
+        order = np.lexsort((nodes, keys >> np.uint64(1)))
+        keys, nodes = keys[order], nodes[order]
+        hot, keys = (keys & np.uint64(1)) > 0, keys & ~np.uint64(1)
         new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]) if len(keys) else np.zeros(0, bool)
-        keys, nodes, sizes = keys[new], nodes[new], sizes[new]
-        same = keys[1:] == keys[:-1]
-        some = sizes < 0
-        some[1:] |= same
-        some[:-1] |= same
-        return pa.table({"key": keys[some].view(np.int64), "node": nodes[some], "size": np.abs(sizes[some])})
+        start = np.flatnonzero(new)
+        hot = np.logical_or.reduceat(hot, start) if len(start) else hot
+        keys, nodes = keys[new], nodes[new]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(keys)))
+        any_hot = np.logical_or.reduceat(hot, first) if len(first) else hot
+        names = mix(np.add.reduceat(mix(nodes.view(np.uint64)), first) + count.astype(np.uint64)) if len(first) else keys
+        keep = np.repeat((count > 1) | any_hot, count)
+        keys = np.where(np.repeat(any_hot, count), keys, np.repeat(names, count))[keep]
+        return pa.table({"key": keys.view(np.int64), "node": nodes[keep]})
 
-    return packed.groupBy("part").applyInArrow(run, "key long, node long, size int")
+    return packed.groupBy("part").applyInArrow(run, "key long, node long").distinct()
 
 
 def table_rows(table: np.ndarray, part: int) -> pa.RecordBatch:
@@ -168,7 +191,7 @@ class Sets:
         missing = cut(missing, "missing")
         if self.have is None or not missing.isEmpty():
             found = self.fetch(node_filter(missing)).join(missing, "node", "left_semi")
-            found = cut(found.groupBy("node").agg(F.first("items").alias("items")), "sets")
+            found = cut(found.groupBy("node").agg(F.first("items").alias("items")), "sets", tidy=True)
             self.have = found if self.have is None else self.have.unionByName(found)
         forget(missing)
         return self.have
@@ -187,7 +210,7 @@ def verify(pairs: DataFrame, sketches: DataFrame, sets: Sets, percent: int) -> D
     """(a, b) -> (a, b, distance, linked): exact symmetric difference where the sketches allow a link, else their bound."""
     one, two = (sketches.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", hamming(F.col("ka"), F.col("kb")).alias("low"))
-    near = cut(near.withColumn("far", F.col("low") > bound(F.col("sa"), F.col("sb"), percent)), "near")
+    near = cut(near.withColumn("far", F.col("low") > bound(F.col("sa"), F.col("sb"), percent)), "near", tidy=True)
     maybe = near.where("not far").select("a", "b")
     full = sets.of(maybe.select(F.col("a").alias("node")).unionByName(maybe.select(F.col("b").alias("node"))).distinct())
     both = maybe.join(full.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
@@ -219,10 +242,10 @@ def link(postings: DataFrame, sketches: DataFrame, sets: Sets, percent: int = 75
     or their parity sketches rule a link out.
     """
     keep = postings.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("k")).where("k > 1")
-    p = cut(postings.join(keep.select("key", "centre"), "key"), "postings")
+    p = cut(postings.join(keep.select("key", "centre"), "key"), "postings", tidy=True)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = p.where("node <> centre").select(*pair(F.col("node"), F.col("centre"))).distinct()
-    tested = cut(verify(star, sketches, sets, percent), "tested")
+    tested = cut(verify(star, sketches, sets, percent), "tested", tidy=True)
     good = tested.where("linked")
     degree = good.select(F.col("a").alias("node")).unionByName(good.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("deg"))
     roots = cut(connected_components(good.select("a", "b")), "roots")
@@ -232,21 +255,21 @@ def link(postings: DataFrame, sketches: DataFrame, sets: Sets, percent: int = 75
         split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         return labelled.join(split, "key")
 
-    left = cut(still_open(p, roots), "open")
+    left = cut(still_open(p, roots), "open", tidy=True)
     ranked = left.join(degree, "node", "left")
     best = ranked.groupBy("key").agg(F.max(F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), F.col("node"))).alias("m")).select("key", F.col("m.node").alias("best"))
-    second = left.drop("centre").join(best, "key").select("key", "node", "size", "best")
+    second = left.drop("centre").join(best, "key").select("key", "node", "best")
     star = second.where("node <> best").select(*pair(F.col("node"), F.col("best"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(verify(star, sketches, sets, percent), "tested")
+    more = cut(verify(star, sketches, sets, percent), "tested", tidy=True)
     known = tested.unionByName(more)
     good = known.where("linked").select("a", "b")
     roots = cut(connected_components(good), "roots")
     left = still_open(second, roots)
     a, b = pair(F.col("node"), F.col("best"))
     left = left.withColumn("a", a).withColumn("b", b).join(known.select("a", "b", F.col("distance").alias("d")), ["a", "b"], "left")
-    left = left.select("key", "node", "size", "root", F.when(F.col("node") == F.col("best"), 0).otherwise(F.col("d")).alias("d"), (F.col("node") == F.col("best")).alias("centre"))
-    left = left.where("not centre").join(sketches.select("node", "sketch"), "node")
-    left = cut(left, "open")
+    left = left.select("key", "node", "root", F.when(F.col("node") == F.col("best"), 0).otherwise(F.col("d")).alias("d"), (F.col("node") == F.col("best")).alias("centre"))
+    left = left.where("not centre").join(sketches, "node")
+    left = cut(left, "open", tidy=True)
     x, y = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns]), left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
     most = bound(F.col("x_size"), F.col("y_size"), percent)
     fits = (
@@ -257,7 +280,7 @@ def link(postings: DataFrame, sketches: DataFrame, sets: Sets, percent: int = 75
         & (hamming(F.col("x_sketch"), F.col("y_sketch")) <= most)
     )
     cross = x.join(y, fits).select(*pair(F.col("x_node"), F.col("y_node"))).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    last = cut(verify(cross, sketches, sets, percent).where("linked").select("a", "b"), "tested")
+    last = cut(verify(cross, sketches, sets, percent).where("linked").select("a", "b"), "tested", tidy=True)
     links = cut(good.unionByName(last), "links")
     out = cut(connected_components(links), "roots")
     forget(p, left, roots, last)

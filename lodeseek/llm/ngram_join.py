@@ -46,10 +46,10 @@ def sets_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return h, text, size, node
 
 
-def keys_of(h: np.ndarray, text: np.ndarray, size: np.ndarray, node: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the first D + 1 segments of each set in each of its bands, with node, size and spread."""
+def keys_of(h: np.ndarray, text: np.ndarray, size: np.ndarray, node: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the first D + 1 segments of each set in each of its bands, with node and spread."""
     if not len(h):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     segment = np.where(size[text] < DENSE, h >> np.uint64(SEGMENT), h)
     start = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (text[1:] != text[:-1])]))
     level = levels[(h >> np.uint64(52 - (len(levels).bit_length() - 1))).astype(np.int64)]
@@ -69,10 +69,11 @@ def keys_of(h: np.ndarray, text: np.ndarray, size: np.ndarray, node: np.ndarray,
     down = np.floor(np.log2(np.maximum(-(-n * percent // 100), 1)) / BAND + 1e-12).astype(np.int64)
     rows = [np.arange(len(own)), np.flatnonzero(up > band), np.flatnonzero(down < band)]
     bands = np.concatenate([band, up[rows[1]], down[rows[2]]])
-    row = np.concatenate(rows)
+    order = np.argsort(np.concatenate(rows), kind="stable")  # a text's keys stay together
+    row, bands = np.concatenate(rows)[order], bands[order]
     level = (key[row] >> np.uint64(46)).astype(np.int64)
     hot = np.where(level >= HOT, 1 << np.clip(level - HOT + 1, 1, 16), 0)
-    return mix(key[row] ^ (bands.astype(np.uint64) << np.uint64(52))), node[own[row]], n[row].astype(np.int32), hot
+    return mix(key[row] ^ (bands.astype(np.uint64) << np.uint64(52))), node[own[row]], hot
 
 
 def describe(docs: DataFrame, size: int) -> DataFrame:
@@ -121,7 +122,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
                     yield from pack(*(np.concatenate(x) for x in zip(*got, strict=True)), buckets)
                     got, n = [], 0
 
-    postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared")
+    postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared", tidy=True)
     shared = postings.select("node").distinct()
     known = described.where("block is null").select("node", F.col("n").alias("size"), "sketch").join(shared, "node", "left_semi")
     sketches = cut(known.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")

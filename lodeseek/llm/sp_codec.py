@@ -10,6 +10,7 @@ independent; the paths of short units are remembered.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,11 +24,12 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .bytetext import lists
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Units remembered by a worker, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 48
+#: Units remembered by a worker in each of two generations, and the longest of them.
+REMEMBERED, LONGEST = 250_000, 48
 #: Texts encoded at once.
 SLICE = 512
 BLANK = "▁"
+NEVER = float("-inf")
 
 
 @dataclass
@@ -79,6 +81,7 @@ class Codec(dict):
 
     def __init__(self, pieces: Pieces):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.pieces, self.automaton = pieces, ahocorasick.Automaton()
         for text, (i, score) in pieces.score.items():
             self.automaton.add_word(text, (len(text), i, score))
@@ -89,42 +92,49 @@ class Codec(dict):
         self.units = re.compile(rf" *[^ {inside}]+| +|\n").findall
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.path(unit)
-        if len(unit) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[unit] = ids
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self.path(unit)
+            if len(unit) > LONGEST:
+                return ids
+        if len(self) >= REMEMBERED:  # what is used again moves on to the new generation
+            self.older = dict(self)
+            self.clear()
+        self[unit] = ids
         return ids
 
     def path(self, text: str) -> bytes:
         """Ids (int32, packed) of the best path. Of equal paths to a position, that with the longest last piece."""
         n = len(text)
-        best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
-        alone, unknown, done = self.alone, self.pieces.unknown, 0
-
-        def spell_to(end: int) -> None:
-            for k in range(done, end):
-                if text[k] not in alone and best[k] + unknown > best[k + 1]:
-                    best[k + 1], back[k + 1] = best[k] + unknown, (k, -1)
-
+        best, start, piece = [0.0] + [NEVER] * n, [0] * (n + 1), [-1] * (n + 1)
+        spelled = not self.alone.issuperset(text)
+        unknown, done = self.pieces.unknown, 0
         for end, (length, i, score) in self.automaton.iter(text) if len(self.automaton) else ():
-            if end > done:
-                spell_to(end)
+            if spelled and end > done:
+                self.spell(text, done, end, best, start, piece, unknown)
                 done = end
-            start = end + 1 - length
-            value = best[start] + score
-            if value > best[end + 1]:
-                best[end + 1], back[end + 1] = value, (start, i)
-        spell_to(n)
+            end += 1
+            value = best[end - length] + score
+            if value > best[end]:
+                best[end], start[end], piece[end] = value, end - length, i
+        if spelled:
+            self.spell(text, done, n, best, start, piece, unknown)
         out, at = [], n
         while at:
-            start, i = back[at]
+            i, first = piece[at], start[at]
             if i >= 0:
                 out.append(i)
             else:
-                out.extend(self.pieces.byte[b] for b in reversed(text[start].encode()))
-            at = start
-        return np.array(out[::-1], np.int32).tobytes()
+                out.extend(self.pieces.byte[b] for b in reversed(text[first].encode()))
+            at = first
+        out.reverse()
+        return array("i", out).tobytes()
+
+    def spell(self, text: str, done: int, end: int, best: list[float], start: list[int], piece: list[int], unknown: float) -> None:
+        """Relaxes the positions after characters that are no piece themselves, from done to end."""
+        for k in range(done, end):
+            if text[k] not in self.alone and best[k] + unknown > best[k + 1]:
+                best[k + 1], start[k + 1], piece[k + 1] = best[k] + unknown, k, -1
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.units(" " + text))) if text else b""

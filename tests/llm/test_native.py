@@ -3,7 +3,9 @@
 import hashlib
 import re
 
-from lodeseek.llm import chat_format, fingerprint, secret_scan, url_filter
+import pytest
+
+from lodeseek.llm import chat_format, components, fingerprint, secret_scan, url_filter
 from lodeseek.llm.components import connected_components
 from lodeseek.llm.queries import QUERIES, URL_RULES
 
@@ -14,9 +16,11 @@ def docs_of(spark, texts, sources=None):
     return spark.createDataFrame([(i, t, "en", (sources or ["s"] * len(texts))[i], len(t or ""), "x") for i, t in enumerate(texts)], DOCS)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("native,last", [(True, 0), (False, 0), (False, 10), (False, 10**6)])
+def test_components(spark, native, last, monkeypatch):
+    monkeypatch.setattr(components, "LAST", last)
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(5, 5), (200, 201), (None, 3)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), native).collect()}
     groups = {}
     for n, r in got.items():
         groups.setdefault(r, set()).add(n)

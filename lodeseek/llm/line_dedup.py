@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import FOLD, U, blocks, mix, powers, texts
-from .common import cut
+from .common import cut, small_batches
 from .linkage import PACKED, SETS, SKETCHES, Sets, buckets_for, link, node_filter, pack, parity, set_rows, shared_postings, slot_of
 
 #: Characters in a shingle; lines of fewer characters than MIN_CHARS (blanks around it not counted) are left alone.
@@ -24,6 +24,8 @@ CHARS, MIN_CHARS, PERCENT = 8, 20, 75
 BANDS, ROWS = 20, 5
 #: Bytes of text worked on at once.
 BLOCK = 1 << 20
+#: Keys sent on at once.
+FLUSH = 1 << 20
 
 
 def lines_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -114,9 +116,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def spread_of(keys: np.ndarray, many: int = 1024) -> np.ndarray:
-    """Into how many buckets each key goes: 16 for one that `many` lines of a batch have, else 0 (its own bucket).
+    """Into how many buckets each key goes: 16 for one that `many` lines sent on at once have, else 0 (its own bucket).
 
-    Batches may differ on a key, so the first line of a spread one goes to its own bucket, where all meet it.
+    What is sent on at other times may differ on a key, so the first line of a spread one goes to its own bucket, where all meet it.
     """
     out = np.zeros(len(keys), np.int64)
     if len(keys):
@@ -135,7 +137,11 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     doc_id names one text. Lines are numbered from 0. Of each component, the line of the least (doc_id, line) stays; a repeated row repeats
     its lines' numbers, which then stay or go together. Rows without doc_id come first.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with small_batches(docs.sparkSession):
+        return _duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent)
+
+
+def _duplicates(docs: DataFrame, percent: int) -> DataFrame:
     spark = docs.sparkSession
 
     def list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +156,14 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = buckets_for(docs, total * BANDS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, known, n = [], np.zeros(0, np.int64), 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            keys, nodes = (np.concatenate(x) for x in zip(*got, strict=True))
+            yield from pack(keys, nodes, spread_of(keys), buckets)
+
         for batch in batches:
             data, at = texts(batch.column(0))
-            got, known = [], np.zeros(0, np.int64)
             for i, j in blocks(at, BLOCK):
                 sums, _, _, first, final, node = lines_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 one = np.unique(node, return_index=True)[1]
@@ -161,9 +172,12 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 for own, h, line, size in chunks(sums, first, final, one):
                     key = band_keys(signatures(h, line, len(own)))
                     got.append((key.reshape(-1), np.repeat(node[own], BANDS)))
-            if got:
-                keys, nodes = (np.concatenate(x) for x in zip(*got, strict=True))
-                yield from pack(keys, nodes, spread_of(keys), buckets)
+                    n += key.size
+                if n >= FLUSH:
+                    yield from packed()
+                    got, known, n = [], np.zeros(0, np.int64), 0
+        if got:
+            yield from packed()
 
     postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared", tidy=True)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOW52, SPACED, blocks, distinct, hash_spans, mix, shingles, tally, texts, words
-from .common import cut
+from .common import cut, small_batches
 from .linkage import PACKED, SETS, Sets, buckets_for, link, merge_tables, pack, parity, set_rows, shared_postings, table_rows, table_size
 
 WORDS, PERCENT = 5, 75
@@ -102,7 +102,11 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
 
 def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of every row of docs (doc_id, text), and (node, root) of the nodes that have links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with small_batches(docs.sparkSession):
+        return _join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent)
+
+
+def _join(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     size = table_size(docs.count())
     described = cut(describe(docs, size), "described")
@@ -112,15 +116,17 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     buckets = buckets_for(docs, total // 3)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, n = [], 0
         for batch in batches:
             data, at = texts(batch.column(0))
-            got, n = [], 0
             for i, j in blocks(at, BLOCK):
                 got.append(keys_of(*sets_of(data[at[i] : at[j]], at[i : j + 1] - at[i]), levels.value, percent))
                 n += len(got[-1][0])
-                if n >= FLUSH or j == len(at) - 1:
+                if n >= FLUSH:
                     yield from pack(*(np.concatenate(x) for x in zip(*got, strict=True)), buckets)
                     got, n = [], 0
+        if got:
+            yield from pack(*(np.concatenate(x) for x in zip(*got, strict=True)), buckets)
 
     postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared", tidy=True)
     shared = postings.select("node").distinct()

@@ -200,7 +200,7 @@ def _duplicates(docs: DataFrame, percent: int) -> DataFrame:
         return docs.select("text").mapInArrow(run, schema)
 
     def sketch_rows(node, size, h, line, wanted):
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(size, pa.int32()), parity(h, line, len(node))], ["node", "size", "sketch"])
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(size, pa.int32()), parity(h, size)], ["node", "size", "sketch"])
 
     shared = postings.select("node").distinct()
     known = read(node_filter(shared), SKETCHES, sketch_rows).join(shared, "node", "left_semi")

@@ -22,7 +22,7 @@ from .components import connected_components
 PACKED = "part int, keys binary, nodes binary, runs binary"
 SKETCHES = "node long, size int, sketch array<bigint>"
 SETS = "node long, items binary"
-#: Bits of the parity sketch.
+#: Least bits of a parity sketch.
 BITS = 1024
 #: Entries of one row of a byte table; fewest and most entries of a table.
 ENTRIES, LEAST, MOST = 1 << 16, 1 << 16, 1 << 26
@@ -158,11 +158,18 @@ def slot_of(nodes: np.ndarray, size: int) -> np.ndarray:
     return (mix(nodes.view(np.uint64)) >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
 
 
-def parity(h: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
-    """Parity sketches of n sets: bit h mod BITS is the parity of the elements that fall on it."""
-    odd = (np.bincount(owner * BITS + (h & np.uint64(BITS - 1)).astype(np.int64), minlength=n * BITS) & 1).astype(np.uint8)
+def parity(h: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Parity sketches of sets (elements h by set, in order): bit h mod bits is the parity of the elements on it.
+
+    A sketch has BITS bits, or BITS times a power of four that is no less than its set.
+    """
+    grow = np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / BITS) / 2)).astype(np.int64)
+    bits = BITS << (2 * grow)
+    low = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    odd = (np.bincount(low[:-1][owner] + (h & (bits[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=int(low[-1])) & 1).astype(np.uint8)
     longs = np.packbits(odd, bitorder="little").view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64)), pa.array(longs))
+    return pa.ListArray.from_arrays(pa.array((low // 64).astype(np.int32)), pa.array(longs))
 
 
 def set_rows(nodes: np.ndarray, sizes: np.ndarray, h: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch | None:
@@ -203,13 +210,26 @@ def bound(a: Column, b: Column, percent: int) -> Column:
 
 
 def hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    """Bits in which two sketches differ; the longer one is folded to the other's length, which keeps parities."""
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+
+    def fold(x: Column) -> Column:
+        n = (F.size(x) / 4).cast("int")
+        part = lambda k: F.slice(x, n * k + 1, n)
+        xor = lambda p, q: F.zip_with(p, q, lambda u, v: u.bitwiseXOR(v))
+        return xor(xor(part(0), part(1)), xor(part(2), part(3)))
+
+    # sizes of partners differ by a third at most, so lengths by one step; beyond that the sizes tell
+    return (
+        F.when(F.size(a) == F.size(b), apart(a, b)).when(F.size(a) == F.size(b) * 4, apart(fold(a), b))
+        .when(F.size(b) == F.size(a) * 4, apart(a, fold(b))).otherwise(F.lit(0))
+    )
 
 
 def verify(pairs: DataFrame, sketches: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """(a, b) -> (a, b, distance, linked): exact symmetric difference where the sketches allow a link, else their bound."""
+    """(a, b) -> (a, b, least, most, linked): bounds of the symmetric difference, exact where the sketches allow a link."""
     one, two = (sketches.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
-    near = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", hamming(F.col("ka"), F.col("kb")).alias("low"))
+    near = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", F.greatest(F.abs(F.col("sa") - F.col("sb")), hamming(F.col("ka"), F.col("kb"))).alias("low"))
     near = cut(near.withColumn("far", F.col("low") > bound(F.col("sa"), F.col("sb"), percent)), "near", tidy=True)
     maybe = near.where("not far").select("a", "b")
     full = sets.of(maybe.select(F.col("a").alias("node")).unionByName(maybe.select(F.col("b").alias("node"))).distinct())
@@ -228,7 +248,9 @@ def verify(pairs: DataFrame, sketches: DataFrame, sets: Sets, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.int32()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
 
     exact = both.mapInArrow(run, "a long, b long, distance int, linked boolean")
-    return exact.unionByName(near.where("far").select("a", "b", F.col("low").cast("int").alias("distance"), F.lit(False).alias("linked")))
+    exact = exact.select("a", "b", F.col("distance").alias("least"), F.col("distance").alias("most"), "linked")
+    far = near.where("far").select("a", "b", F.col("low").cast("int").alias("least"), (F.col("sa") + F.col("sb")).alias("most"), F.lit(False).alias("linked"))
+    return exact.unionByName(far)
 
 
 def link(postings: DataFrame, sketches: DataFrame, sets: Sets, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -266,9 +288,9 @@ def link(postings: DataFrame, sketches: DataFrame, sets: Sets, percent: int = 75
     roots = cut(connected_components(good), "roots")
     left = still_open(second, roots)
     a, b = pair(F.col("node"), F.col("best"))
-    left = left.withColumn("a", a).withColumn("b", b).join(known.select("a", "b", F.col("distance").alias("d")), ["a", "b"], "left")
-    left = left.select("key", "node", "root", F.when(F.col("node") == F.col("best"), 0).otherwise(F.col("d")).alias("d"), (F.col("node") == F.col("best")).alias("centre"))
-    left = left.where("not centre").join(sketches, "node")
+    left = left.withColumn("a", a).withColumn("b", b).join(known.select("a", "b", "least", "most"), ["a", "b"], "left")
+    left = left.where("node <> best").select("key", "node", "root", F.coalesce("least", F.lit(0)).alias("least"), F.coalesce("most", F.lit(2**30)).alias("most"))
+    left = left.join(sketches, "node")
     left = cut(left, "open", tidy=True)
     x, y = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns]), left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
     most = bound(F.col("x_size"), F.col("y_size"), percent)
@@ -276,7 +298,8 @@ def link(postings: DataFrame, sketches: DataFrame, sets: Sets, percent: int = 75
         (F.col("x_key") == F.col("y_key"))
         & (F.col("x_root") < F.col("y_root"))
         & (F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent)
-        & (F.abs(F.col("x_d") - F.col("y_d")) <= most)
+        & (F.col("x_least") - F.col("y_most") <= most)
+        & (F.col("y_least") - F.col("x_most") <= most)
         & (hamming(F.col("x_sketch"), F.col("y_sketch")) <= most)
     )
     cross = x.join(y, fits).select(*pair(F.col("x_node"), F.col("y_node"))).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")

@@ -7,8 +7,8 @@ segments of a document that hold a bit, the first D + 1 in an order common to al
 The sketch has so many segments (2**24) that it stays sparse; a dense one of as many bits as shingles would leave
 segments of three shingles, and empty ones, on which unrelated documents agree. The common order puts segments of rare
 bits first, by counts over the whole corpus, so that passages which many documents share make no candidates. Documents
-are joined per size band; those that may have partners across a border stand in both bands. Folded to 1024 bits, the
-sketches rule out candidates; the rest is verified exactly.
+are joined per size band; those that may have partners across a border stand in both bands. Folded to about as
+many bits as shingles, the sketches rule out candidates; the rest is verified exactly.
 """
 
 from __future__ import annotations
@@ -87,12 +87,12 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             data, at = texts(batch.column(1))
             for i, j in blocks(at, BLOCK):
-                h, text, n, node = sets_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                h, _, n, node = sets_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 bins, more = tally(h >> shift)
                 bins = bins.astype(np.int64)
                 table[bins] = np.minimum(table[bins] + more, 255)
                 none = [pa.nulls(j - i, t) for t in (pa.int32(), pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int32()), pa.array(node), parity(h, text, j - i), *none], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int32()), pa.array(node), parity(h, n), *none], names)
         rows = table_rows(table, TaskContext.get().partitionId())
         none = [pa.nulls(rows.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*none, *rows.columns], names)

@@ -102,6 +102,18 @@ def test_rare_words_are_joined(spark):
         ctw.HEAD = old
 
 
+def test_many_strings_keep_the_depth(spark, monkeypatch):
+    """Beyond STRINGS distinct byte strings the context stays as deep; rare strings' probabilities are joined."""
+    monkeypatch.setattr(ctw, "STRINGS", 40)
+    rows = [(i, f"the cat {i % 7} sat on mat {i} é") for i in range(60)] + [(60, None), (61, "zzz zzz zzz")]
+    got = ctw.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    check_base(rows, got)
+    train = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    for r in got:
+        want = tree_score(train, dict(rows)[r.doc_id] or "", ctw.DEPTH)
+        assert abs(r.score - want) < 1e-6 * abs(want)
+
+
 def test_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = QUERIES["op9_ctw"](spark, sf_dir).collect()

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: What is worked on at once: bytes of text, and texts (their number must fit beside a 52-bit hash).
+#: What is worked on at once: bytes of text, and texts.
 BLOCK_BYTES, BLOCK_TEXTS = 4 << 20, 4096
 
 FOLD = np.arange(256, dtype=np.uint8)
@@ -18,7 +19,6 @@ ALNUM = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 #: Words between white space: [^\x20\x09-\x0D].
 SPACED = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
 
-LOW52 = np.uint64((1 << 52) - 1)
 U = np.uint64
 
 
@@ -29,24 +29,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-#: A random word for each folded byte, and the odd base of the polynomial with its inverse modulo 2**64.
-LETTER = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))[FOLD]
-EXACT = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-BASE = 0x2545F4914F6CDD1D | 1
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        grown = []
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            grown.append(np.cumprod(p))
-        _POWERS[:] = grown
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Spans of more bytes are hashed one at a time.
+LONG = 256
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,38 +67,91 @@ def words(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndar
     return s, np.flatnonzero(stop) + 1, np.searchsorted(s, at)
 
 
-def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray, letter: np.ndarray = LETTER) -> np.ndarray:
-    """64-bit hash of each span; A-Z count as a-z under LETTER."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(letter[data] * up[:-1], out=sums[1:])
-    return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hash of each span; A-Z count as a-z where `fold`.
+
+    Eight bytes at a time are mixed into the state, for all spans at once; long spans go through BLAKE2.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = FOLD[data] if fold else data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    size = e - s
+    h = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + U(1))
+    own, at, left = None, s, size
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = int.from_bytes(blake2b(padded[s[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
+    while True:
+        more = (left > 0) & (size <= LONG) if own is None else left > 0
+        if not more.all():
+            own = np.flatnonzero(more) if own is None else own[more]
+            at, left = at[more], left[more]
+        if not len(at):
+            return h
+        step = eight[at] & _LOW_BYTES[np.minimum(left, 8)]
+        if own is None:
+            h = mix(h ^ step)
+        else:
+            h[own] = mix(h[own] ^ step)
+        at, left = at + 8, left - 8
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the index of each text's first word (one more at the end).
+
+    A text of more than BLOCK_BYTES, which stands alone, is gone through in pieces cut between words.
+    """
+    if len(at) != 2 or len(data) <= BLOCK_BYTES:
+        s, e, first = words(data, at, inside)
+        return hash_spans(data, s, e), first
+    got, low = [], 0
+    while low < len(data):
+        high = min(len(data), low + BLOCK_BYTES)
+        while high < len(data):
+            within = inside[data[high : high + BLOCK_BYTES]]
+            high += len(within) if within.all() else int(np.argmin(within))
+            if high < len(data) and not inside[data[high]]:
+                break
+        s, e, _ = words(data[low:high], np.array([0, high - low]), inside)
+        got.append(hash_spans(data[low:high], s, e))
+        low = high
+    h = np.concatenate(got)
+    return h, np.array([0, len(h)])
 
 
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words (fewer words in a text: one run of all), and the texts they are in, ascending."""
     m = np.diff(first)
     count = np.where(m >= k, m - k + 1, (m > 0).astype(m.dtype))
-    text = np.repeat(np.arange(len(m)), count)
-    start = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[:-1], count)
-    padded = np.concatenate([h, np.zeros(k, np.uint64)])
-    short = np.minimum(m, k)[text]
+    text = np.repeat(np.arange(len(m), dtype=np.int32), count)
     out = np.zeros(len(text), np.uint64)
-    for j in range(k):
-        step = padded[start + j]
-        step[short <= j] = 0
-        out = (out + step) * U(0x9E3779B97F4A7C15 + 2 * j)
-        out ^= out >> U(29)
-    return mix(out + short.astype(np.uint64)), text
-
-
-def distinct(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """52-bit hashes distinct within each text, sorted, and their texts."""
-    packed = (text.astype(np.uint64) << U(52)) | (h >> U(12))
-    packed.sort()
-    if len(packed):
-        packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
-    return packed & LOW52, (packed >> U(52)).astype(np.int64)
+    offset = np.repeat(first[:-1] - np.cumsum(count) + count, count)
+    short = np.minimum(m, k)
+    plain = bool((m[m > 0] >= k).all())
+    for low in range(0, len(text), 1 << 19):  # so that temporaries stay small
+        at = offset[low : low + (1 << 19)] + np.arange(low, min(low + (1 << 19), len(text)))
+        part = out[low : low + (1 << 19)]
+        n = None if plain else short[text[low : low + (1 << 19)]]
+        for j in range(k):
+            step = h[at + j] if plain else np.where(n > j, h[np.minimum(at + j, len(h) - 1)], U(0))
+            part += step
+            part *= U(0x9E3779B97F4A7C15 + 2 * j)
+            part ^= part >> U(29)
+        part += U(k) if plain else n.astype(np.uint64)
+        out[low : low + (1 << 19)] = mix(part)
+    return out, text
+
+
+def distinct(h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes distinct within each of n texts, sorted, and their number by text. `text` ascends; h is used up."""
+    low = np.searchsorted(text, np.arange(n + 1)).tolist()
+    for i in range(n):
+        if low[i + 1] - low[i] > 1:
+            h[low[i] : low[i + 1]].sort()
+    if len(h):
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        h, text = h[new], text[new]
+    return h, np.bincount(text, minlength=n)
 
 
 class Lookup:

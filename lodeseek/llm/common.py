@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,25 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests, one machine) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir, else, on one machine only, a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lodeseek-"))
 
 
-def cut(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that later work does not depend on lost executors.
 
-    The files go when the session ends, or earlier through `forget`. After a step with large shuffles, `tidy` lets
-    Spark delete their files now and not at some later collection.
+    The files go when the session ends, or earlier through `forget`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeseek-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if tidy:  # shuffle files go once the driver has collected what refers to them
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(sc.hadoopConfiguration()).deleteOnExit(where)
@@ -50,6 +48,26 @@ def cut(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with `__file` and `__row` (long), which name each stored row wherever it is read again.
+
+    Rows of parquet files have their file and place in it; what else df may be is written to the shared folder first.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):  # each row is one row of a file
+        plan = plan.children().head()
+    if not (plan.nodeName() == "LogicalRelation" and plan.simpleString(25).endswith(" parquet") and _placed(df)):
+        df = cut(df, "rows")
+    return df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+
+def _placed(df: DataFrame) -> bool:
+    try:
+        return bool(df.select("_metadata.file_path", "_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> Iterator[None]:
     """Within it, jobs hand texts to Python in smaller batches, so that a worker and Spark's buffers hold less at once."""

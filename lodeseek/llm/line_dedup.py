@@ -1,114 +1,83 @@
 """Line dedup by MinHash.
 
-Lines of the corpus are sets of character shingles. A one-permutation MinHash with optimal densification gives each
-distinct line a signature; bands of it (recall 0.995 at the threshold, more above) make candidates; exact Jaccard of
-the shingle sets verifies them; connected components of the links keep one line each: the first of the least document.
-Exact copies of a line are one node from the start, so a line that a third of all rows repeat is counted, not paired.
+Lines are sets of character shingles; a line shorter than a shingle is one shingle. A one-permutation MinHash with
+optimal densification gives each distinct line a signature; its bands (recall 0.997 at the threshold, more above) make
+candidates; the exact Jaccard similarity of the lines' texts verifies them; connected components of the links keep one
+line each: the first of the least document. Exact copies of a line share one name from the start, so a line that a
+third of all rows repeat is counted, not paired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import FOLD, U, blocks, mix, powers, texts
-from .common import cut, small_batches
-from .linkage import PACKED, SETS, SKETCHES, Sets, buckets_for, link, node_filter, pack, parity, set_rows, shared_postings, slot_of
+from .bytetext import FOLD, U, mix
+from .common import cut, numbered, small_batches
+from .linkage import PACKED, buckets_for, link, node_filter, pack, shared_postings, slot_of
 
-#: Characters in a shingle; lines of fewer characters than MIN_CHARS (blanks around it not counted) are left alone.
-CHARS, MIN_CHARS, PERCENT = 8, 20, 75
-BANDS, ROWS = 20, 5
-#: Bytes of text worked on at once.
-BLOCK = 1 << 20
-#: Keys sent on at once.
-FLUSH = 1 << 20
+#: Characters in a shingle.
+CHARS, PERCENT = 8, 75
+BANDS, ROWS = 16, 4
+#: Bytes of lines signed at once, positions hashed at once, and keys sent on at once.
+BLOCK, STEP, FLUSH = 1 << 20, 1 << 19, 1 << 18
+#: Lines that a task remembers having signed (a further copy is signed again, to no effect).
+REMEMBERED = 200_000
+#: Lines of more characters are compared by 64-bit hashes of their shingles, shorter ones by the shingles themselves.
+LONG = 1 << 16
 
+LOWER = FOLD.tobytes()
+BLANKS = b" \t\n\v\f\r"
 
-def lines_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Code points (A-Z folded) of all texts; per judged line: text, number in the text, start and end, and node.
 
-    Lines end at line feeds. Blanks at both ends are no part of what is judged.
-    """
-    folded = FOLD[data].tobytes().decode("utf-8")
-    points = np.frombuffer(folded.encode("utf-32-le"), np.uint32)
-    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    at = heads[at]
+def lines_of(text: str | None) -> list[bytes]:
+    """The lines of a text as they are judged: A-Z as a-z, without the blanks around them. Lines end at line feeds."""
+    return [x.strip(BLANKS) for x in text.encode().translate(LOWER).split(b"\n")] if text is not None else []
+
+
+def name_of(line: bytes) -> bytes:
+    """128 bits; the same for equal lines only."""
+    return blake2b(line, digest_size=16).digest()
+
+
+def signatures(lines: list[bytes]) -> np.ndarray:
+    """BANDS * ROWS minima for each line of CHARS characters and more. An empty bin takes that of a bin drawn for it."""
+    k, n = BANDS * ROWS, len(lines)
+    points = np.frombuffer(b"\n".join(lines).decode().encode("utf-32-le"), np.uint32)
+    small = np.zeros(len(points) + CHARS, np.uint8)
+    for low in range(0, len(points), STEP):  # eight characters are one number
+        small[low : min(low + STEP, len(points))] = (points[low : low + STEP] * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    eight = np.ndarray((len(points) + 1,), "<u8", small, 0, (1,))
     feed = np.flatnonzero(points == 10)
-    text = np.concatenate([np.arange(len(at) - 1), np.searchsorted(at, feed, "right") - 1])
-    begin = np.concatenate([at[:-1], feed + 1])
-    order = np.lexsort((begin, text))
-    start, text = begin[order], text[order]
-    last = np.append(text[1:] != text[:-1], True) if len(text) else np.zeros(0, bool)
-    end = np.where(last, at[1:][text], np.append(start[1:] - 1, 0)) if len(text) else start
-    number = np.arange(len(text)) - np.searchsorted(text, text)
-    full = np.flatnonzero((points != 32) & ~((points >= 9) & (points <= 13)))
-    low, high = np.searchsorted(full, start), np.searchsorted(full, end) - 1
-    judged = high >= low
-    first, final = np.full(len(start), 0), np.full(len(start), 0)
-    first[judged], final[judged] = full[low[judged]], full[high[judged]] + 1
-    judged &= final - first >= MIN_CHARS
-    text, number, first, final = text[judged], number[judged], first[judged], final[judged]
-    up, down = powers(len(points) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(points.astype(np.uint64)) * up[:-1])])
-    node = mix((sums[final] - sums[first]) * down[first] + (final - first).astype(np.uint64) * U(0xD6E8FEB86659FD93)).view(np.int64)
-    return sums, text, number, first, final, node
-
-
-def shingles_of(sums: np.ndarray, first: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lines' shingles, and the lines they are in."""
-    count = final - first - CHARS + 1
-    line = np.repeat(np.arange(len(first)), count)
-    pos = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    return mix((sums[pos + CHARS] - sums[pos]) * powers(len(sums))[1][pos]), line
-
-
-def distinct_sets(h: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct 44-bit hashes of each line, sorted, their lines, and the sets' sizes. At most 2**20 lines at once."""
-    packed = np.sort((line.astype(np.uint64) << U(44)) | (h >> U(20)))
-    if len(packed):
-        packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
-    line = (packed >> U(44)).astype(np.int64)
-    return packed & U((1 << 44) - 1), line, np.bincount(line, minlength=n)
-
-
-def chunks(sums: np.ndarray, first: np.ndarray, final: np.ndarray, pick: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The picked lines, 2**18 at a time, with their distinct shingle hashes, the lines of these, and the sets' sizes."""
-    for k in range(0, len(pick), 1 << 18):
-        own = pick[k : k + (1 << 18)]
-        yield own, *distinct_sets(*shingles_of(sums, first[own], final[own]), len(own))
-
-
-def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """n rows of BANDS * ROWS minima. h: distinct hashes by line. An empty bin takes that of a bin drawn for it."""
-    k = BANDS * ROWS
-    spread = mix(h + U(0x1234567))
-    bin_ = ((spread >> U(32)) * U(k)) >> U(32)
-    packed = np.sort((line.astype(np.uint64) << U(44)) | (bin_ << U(37)) | (mix(spread) >> U(27)))
-    head = packed >> U(37)
-    new = np.concatenate([[True], head[1:] != head[:-1]]) if len(head) else np.zeros(0, bool)
-    out = np.zeros((n, k), np.uint64)
-    has = np.zeros((n, k), bool)
-    row, col = (packed[new] >> U(44)).astype(np.int64), ((packed[new] >> U(37)) & U(127)).astype(np.int64)
-    out[row, col] = packed[new] & U((1 << 37) - 1)
-    has[row, col] = True
-    filled, attempt = has.copy(), 0
-    while not filled.all() and attempt < 4096:
-        draw = (mix(np.arange(k, dtype=np.uint64) * U(4099) + U(attempt + 1)) % U(k)).astype(np.int64)
-        r, c = np.nonzero(~filled)
-        source = draw[c]
-        ok = has[r, source]
-        out[r[ok], c[ok]] = out[r[ok], source[ok]]
-        filled[r[ok], c[ok]] = True
+    start = np.concatenate([[0], feed + 1])
+    count = np.append(feed, len(points)) - start - CHARS + 1
+    out = np.full(n * k, 0xFFFFFFFF, np.uint32)
+    ends = np.cumsum(count)
+    for low in range(0, int(ends[-1]), STEP):
+        at = np.arange(low, min(low + STEP, int(ends[-1])))
+        line = np.searchsorted(ends, at, "right")
+        h = mix(eight[at - (ends - count)[line] + start[line]] + U(0x1234567))
+        np.minimum.at(out, line * k + ((h >> U(32)) * U(k) >> U(32)).astype(np.int64), np.minimum(h & U(0xFFFFFFFF), U(0xFFFFFFFE)).astype(np.uint32))
+    out = out.reshape(n, k)
+    has = out != 0xFFFFFFFF
+    row, col = np.nonzero(~has)
+    attempt = 0
+    while len(row):
         attempt += 1
+        draw = (mix(np.arange(k, dtype=np.uint64) * U(4099) + U(attempt)) % U(k)).astype(np.int64)[col]
+        ok = has[row, draw]
+        out[row[ok], col[ok]] = out[row[ok], draw[ok]]
+        row, col = row[~ok], col[~ok]
     return out
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(len(sig), BANDS, ROWS)
+    rows = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
     key = np.zeros((len(sig), BANDS), np.uint64)
     for i in range(ROWS):
         key = mix(key * U(0x9E3779B97F4A7C15) + rows[:, :, i])
@@ -131,86 +100,170 @@ def spread_of(keys: np.ndarray, many: int = 1024) -> np.ndarray:
     return out
 
 
+def shingles_of(line: str) -> frozenset[str] | np.ndarray:
+    """The distinct shingles of a line; of a long one, their sorted 64-bit hashes."""
+    n = len(line) - CHARS + 1
+    if n <= LONG:
+        return frozenset([line[i : i + CHARS] for i in range(n)] if n > 0 else [line])
+    raw = np.frombuffer(line.encode("utf-32-le") + b"\0" * 8, np.uint32)
+    out = np.zeros(n, np.uint64)
+    for low in range(0, n, STEP):
+        h = out[low : low + STEP]
+        for j in range(CHARS):
+            h = mix(h ^ (raw[low + j : low + j + len(h)].astype(np.uint64) + U(1 + (j << 32))))
+        out[low : low + STEP] = h
+    return np.unique(out)
+
+
+def common_of(a: frozenset[str] | np.ndarray, b: frozenset[str] | np.ndarray) -> int:
+    if isinstance(a, frozenset) and isinstance(b, frozenset):
+        return len(a & b)
+    if isinstance(a, frozenset) or isinstance(b, frozenset):  # a short line and a long one
+        a, b = (np.unique(np.concatenate([hash_of(x) for x in sorted(s)])) if isinstance(s, frozenset) else s for s in (a, b))
+    return len(np.intersect1d(a, b, assume_unique=True))
+
+
+def hash_of(shingle: str) -> np.ndarray:
+    """The hash that a long line has for it."""
+    raw = np.frombuffer(shingle.encode("utf-32-le"), np.uint32)
+    h = np.zeros(1, np.uint64)
+    for j, c in enumerate(raw):
+        h = mix(h ^ U(int(c) + 1 + (j << 32)))
+    return h
+
+
+def compare_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(a, b) -> (a, b, least, most, linked): the symmetric difference of two lines' shingles. lines: (node, line)."""
+    both = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("ta")), "a")
+    both = both.join(lines.select(F.col("node").alias("b"), F.col("line").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[int, frozenset[str] | np.ndarray] = {}  # a centre's pairs come one after the other
+        for batch in batches:
+            distance, linked = [], []
+            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = last[a] if a in last else shingles_of(ta)
+                y = last[b] if b in last else shingles_of(tb)
+                last = {a: x, b: y}
+                n = common_of(x, y)
+                distance.append(len(x) + len(y) - 2 * n)
+                linked.append(100 * n >= percent * (len(x) + len(y) - n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.int32()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
+
+    done = both.mapInArrow(run, "a long, b long, distance int, linked boolean")
+    return done.select("a", "b", F.col("distance").alias("least"), F.col("distance").alias("most"), "linked")
+
+
 def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, line, kept_doc_id, kept_line) of every line of docs (doc_id, text) that goes, with the line kept for it.
+    """(doc_id, row, line, kept_doc_id, kept_row, kept_line) of every line of docs (doc_id, text) that goes, with the line kept for it.
 
-    doc_id names one text. Lines are numbered from 0. Of each component, the line of the least (doc_id, line) stays; a repeated row repeats
-    its lines' numbers, which then stay or go together. Rows without doc_id come first.
+    row: struct<file, row> names the row of docs, so rows may share an id or have none. Lines are numbered from 0. Lines of
+    blanks only are left alone. Of each component, the first line of the least doc_id stays (a null id before all
+    others; between rows of one id, by a hash of their text, then by their place).
     """
-    with small_batches(docs.sparkSession):
-        return _duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent)
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    at = lambda p: F.struct(F.col(f"{p}file").alias("file"), F.col(f"{p}row").alias("row"))
+    gone = _duplicates(rows.withColumnRenamed("__file", "file").withColumnRenamed("__row", "row"), percent)
+    return gone.select("doc_id", at("").alias("row"), "line", F.col("kept.doc_id").alias("kept_doc_id"), at("kept.").alias("kept_row"), F.col("kept.line").alias("kept_line"))
 
 
 def _duplicates(docs: DataFrame, percent: int) -> DataFrame:
     spark = docs.sparkSession
+    place = ("doc_id", "hash", "file", "row", "line")
 
     def list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = texts(batch.column(1))
-            for i, j in blocks(at, BLOCK):
-                _, text, number, _, _, node = lines_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(text)), pa.array(number, pa.int32()), pa.array(node)], ["doc_id", "line", "node"])
-
-    lines = cut(docs.mapInArrow(list_lines, "doc_id long, line int, node long"), "lines")
-    total = lines.count()
-    buckets = buckets_for(docs, total * BANDS)
+            at, number, names, hashes = [], [], [], []
+            for i, text in enumerate(batch.column(3)):
+                text = text.as_py()
+                found = [(k, name_of(x)) for k, x in enumerate(lines_of(text)) if x]
+                if found:
+                    k, name = zip(*found, strict=True)
+                    at.append(np.full(len(k), i))
+                    number.append(np.array(k, np.int32))
+                    names.append(b"".join(name))
+                    hashes.append(np.full(len(k), int.from_bytes(blake2b(b"".join(name), digest_size=8).digest(), "little", signed=True)))
+            if at:
+                rows = pa.array(np.concatenate(at))
+                both = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+                columns = [*(batch.column(c).take(rows) for c in range(3)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(number)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "file", "row", "hash", "line", "node", "more"])
+
+    with small_batches(spark):
+        lines = cut(docs.select("doc_id", "file", "row", "text").mapInArrow(list_lines, "doc_id long, file long, row long, hash long, line int, node long, more long"), "lines")
+        roots = _linked(docs, lines, percent)
+    first = F.min(F.struct(*place)).alias("first")
+    distinct = cut(lines.groupBy("node", "more").agg(first, F.count("*").alias("n")), "distinct")
+    joined = distinct.join(roots, "node")  # few lines have links
+    least = joined.groupBy("root").agg(F.min("first").alias("kept"))
+    joined = joined.join(least, "root").select("node", "more", "kept")
+    alone = distinct.where("n > 1").join(roots.select("node"), "node", "left_anti").select("node", "more", F.col("first").alias("kept"))
+    gone = lines.join(joined.unionByName(alone), ["node", "more"])
+    return gone.where(F.struct(*place) != F.col("kept"))
+
+
+def _linked(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the lines that have links. The first 64 bits of a line's name are its node."""
+    spark = docs.sparkSession
+    buckets = buckets_for(docs, lines.count() * BANDS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, known, n = [], np.zeros(0, np.int64), 0
+        known: set[int] = set()  # nodes sent on before
+        found: list[bytes] = []
+        nodes: list[int] = []
+        got, n, size = [], 0, 0
+
+        def sign() -> None:
+            nonlocal found, nodes, size, n
+            if found:
+                got.append((band_keys(signatures(found)).reshape(-1), np.repeat(np.array(nodes, np.int64), BANDS)))
+                n += len(found) * BANDS
+            found, nodes, size = [], [], 0
 
         def packed() -> Iterator[pa.RecordBatch]:
             keys, nodes = (np.concatenate(x) for x in zip(*got, strict=True))
             yield from pack(keys, nodes, spread_of(keys), buckets)
 
         for batch in batches:
-            data, at = texts(batch.column(0))
-            for i, j in blocks(at, BLOCK):
-                sums, _, _, first, final, node = lines_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                one = np.unique(node, return_index=True)[1]
-                one = one[~np.isin(node[one], known)]
-                known = np.concatenate([known, node[one]])
-                for own, h, line, size in chunks(sums, first, final, one):
-                    key = band_keys(signatures(h, line, len(own)))
-                    got.append((key.reshape(-1), np.repeat(node[own], BANDS)))
-                    n += key.size
-                if n >= FLUSH:
-                    yield from packed()
-                    got, known, n = [], np.zeros(0, np.int64), 0
+            for text in batch.column(0):
+                for x in lines_of(text.as_py()):
+                    if len(x) < CHARS or len(x) < 4 * CHARS and len(x.decode()) < CHARS or (node := node_of(x)) in known:
+                        continue
+                    known.add(node)
+                    found.append(x)
+                    nodes.append(node)
+                    size += len(x)
+                    if size >= BLOCK:
+                        sign()
+                        if n >= FLUSH:
+                            yield from packed()
+                            got, n = [], 0
+                            if len(known) > REMEMBERED:
+                                known = set()
+        sign()
         if got:
             yield from packed()
 
-    postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared", tidy=True)
-
-    def read(wanted: np.ndarray, schema: str, make) -> DataFrame:
-        """Rows of make(nodes, sizes, hashes, lines of these) for the lines that pass the filter, once a batch."""
-        table = spark.sparkContext.broadcast(wanted)
+    postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared")
+    shared = cut(postings.select("node").distinct(), "nodes")
+    wanted = spark.sparkContext.broadcast(node_filter(shared))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, at = texts(batch.column(0))
-                for i, j in blocks(at, BLOCK):
-                    sums, _, _, first, final, node = lines_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                    one = np.unique(node, return_index=True)[1]
-                    one = one[table.value[slot_of(node[one], len(table.value))] > 0]
-                    for own, h, line, size in chunks(sums, first, final, one):
-                        rows = make(node[own], size, h, line, table.value)
-                        if rows is not None:
-                            yield rows
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list({x for text in batch.column(0) for x in lines_of(text.as_py()) if len(x) >= CHARS})
+            nodes = np.array([node_of(x) for x in found], np.int64)
+            pick = np.flatnonzero(wanted.value[slot_of(nodes, len(wanted.value))] > 0)
+            kept = [found[k].decode() for k in pick.tolist()]
+            sizes = pa.array([len(shingles_of(x)) for x in kept], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[pick]), sizes, pa.array(kept, pa.string())], ["node", "size", "line"])
 
-        return docs.select("text").mapInArrow(run, schema)
+    texts = docs.select("text").mapInArrow(fetch, "node long, size int, line string").join(shared, "node", "left_semi")
+    texts = cut(texts.dropDuplicates(["node"]), "texts")
+    return link(postings, texts.select("node", "size"), lambda pairs: compare_lines(pairs, texts, percent), percent)[1]
 
-    def sketch_rows(node, size, h, line, wanted):
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(size, pa.int32()), parity(h, size)], ["node", "size", "sketch"])
 
-    shared = postings.select("node").distinct()
-    known = read(node_filter(shared), SKETCHES, sketch_rows).join(shared, "node", "left_semi")
-    sketches = cut(known.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
-    sets = Sets(lambda wanted: read(wanted, SETS, lambda node, size, h, line, table: set_rows(node, size, h, table)))
-    _, roots = link(postings, sketches, sets, percent)
-    labelled = lines.join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("label"))
-    best = labelled.groupBy("label").agg(F.min(F.struct("doc_id", "line")).alias("kept"), F.count("*").alias("k")).where("k > 1")
-    gone = labelled.join(best, "label").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))))
-    return gone.select("doc_id", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
+def node_of(line: bytes) -> int:
+    return int.from_bytes(name_of(line)[:8], "little", signed=True)
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -218,13 +271,13 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Columns of docs stay (an n_lines or n_removed among them is replaced). Null texts stay null with no lines; an empty
     text is one empty line. The other lines stay as they are, joined by line feeds; a text of which nothing stays is
-    empty. An empty table gives no rows.
+    empty. Each row is a document of its own: of repeated rows, one keeps the lines. An empty table gives no rows.
     """
-    gone = duplicates(docs, percent).groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    base = docs.select(*keep)
-    gone = gone.withColumnRenamed("doc_id", "__doc_id")
-    out = base.join(gone, base["doc_id"].cast("long").eqNullSafe(gone["__doc_id"]), "left").drop("__doc_id")
+    rows = numbered(docs.select(*keep))
+    work = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("__file").alias("file"), F.col("__row").alias("row"))
+    gone = _duplicates(work, percent).groupBy(F.col("file").alias("__file"), F.col("row").alias("__row")).agg(F.collect_set("line").alias("__gone"))
+    out = rows.join(gone, ["__file", "__row"], "left")
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))

@@ -1,9 +1,9 @@
 """Shared machinery of the near-duplicate operators: packed postings, bounded byte tables, exact linking of sets.
 
-Sets are named by a 64-bit hash of their content, so exact copies are one node from the start. Candidate keys travel as
-packed arrays, one row per batch and bucket. Within a key, no pairs are enumerated: every node is compared with one
-centre, then with the best connected one; only nodes that stay in different components and that no lower bound of
-their distance separates are compared with each other. What is left out this way cannot change the components.
+Candidate keys travel as packed arrays, one row per batch and bucket. Within a key, every node is first compared with
+one centre, then with the best connected one. What then is left in different components of a key is compared across
+them, unless sizes, the distances to the common centre (triangle inequality) or sketches rule a link out. What is left
+out this way cannot change the components.
 """
 
 from __future__ import annotations
@@ -19,40 +19,46 @@ from .bytetext import mix
 from .common import cut, forget, parts
 from .components import connected_components
 
-PACKED = "part int, keys binary, nodes binary, runs binary"
-SKETCHES = "node long, size int, sketch array<bigint>"
+PACKED = "part int, base int, keys binary, nodes binary, runs binary"
 SETS = "node long, items binary"
-#: Least bits of a parity sketch.
+#: Least bits of a dense parity sketch.
 BITS = 1024
 #: Entries of one row of a byte table; fewest and most entries of a table.
 ENTRIES, LEAST, MOST = 1 << 16, 1 << 16, 1 << 26
+#: Buckets that a spread key goes to at most.
+SPREAD = 1 << 16
 
+U = np.uint64
 
-def pack(keys: np.ndarray, nodes: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Postings as rows of PACKED, by bucket of their key; a node with several keys in a bucket stands there once.
 
-    Keys with hot > 0 are spread over that many buckets; the lowest bit of a key says so.
+def pack(keys: np.ndarray, nodes: np.ndarray, spread: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Postings as rows of PACKED, by bucket of their key; of a key the low 32 bits travel.
+
+    A key with spread > 0 is dealt over so many buckets by its nodes; `base` is its own bucket, -1 for the others.
     """
-    salted = hot > 0
-    keys = keys & ~np.uint64(1)
-    spread = keys.copy()
-    spread[salted] += (mix(nodes[salted].view(np.uint64)) % hot[salted].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    part = (mix(spread) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    keys, nodes, part = (keys | salted.astype(np.uint64))[order], nodes[order], part[order]
-    run = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (nodes[1:] != nodes[:-1])])) if len(part) else np.zeros(0, np.int64)
+    if not len(keys):
+        return
+    base = ((keys >> U(32)) % U(buckets)).astype(np.int32)
+    part, salted = base.copy(), spread > 0
+    salt = (mix(nodes[salted].view(np.uint64)) % np.minimum(spread[salted], SPREAD).astype(np.uint64)).astype(np.int64)
+    part[salted] = (base[salted] + salt) % buckets
+    base[~salted] = -1
+    order = np.lexsort((nodes, base, part))
+    keys, nodes, base, part = (keys[order] & U(0xFFFFFFFF)).astype(np.uint32), nodes[order], base[order], part[order]
+    row = np.ones(len(part), bool)
+    row[1:] = (part[1:] != part[:-1]) | (base[1:] != base[:-1])
+    run = row.copy()
+    run[1:] |= nodes[1:] != nodes[:-1]
+    at, run = np.flatnonzero(row), np.flatnonzero(run)
     length = np.diff(np.append(run, len(part))).astype(np.uint32)
-    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
     low = np.append(np.searchsorted(run, at), len(run)).tolist()
-    at = np.append(at, len(part)).tolist()
-    rows = []
-    for k in range(len(at) - 1):
-        single = low[k + 1] - low[k] == at[k + 1] - at[k]
-        lengths = b"" if single else length[low[k] : low[k + 1]].tobytes()
-        rows.append((int(part[at[k]]), keys[at[k] : at[k + 1]].tobytes(), nodes[run[low[k] : low[k + 1]]].tobytes(), lengths))
-    if rows:
-        p, k, n, s = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.binary()), pa.array(n, pa.binary()), pa.array(s, pa.binary())], ["part", "keys", "nodes", "runs"])
+    ends = np.append(at, len(part)).tolist()
+    k, n, r = [], [], []
+    for i in range(len(at)):
+        k.append(keys[ends[i] : ends[i + 1]].tobytes())
+        n.append(nodes[run[low[i] : low[i + 1]]].tobytes())
+        r.append(length[low[i] : low[i + 1]].tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(base[at]), *(pa.array(x, pa.binary()) for x in (k, n, r))], ["part", "base", "keys", "nodes", "runs"])
 
 
 def shared_postings(packed: DataFrame) -> DataFrame:
@@ -62,34 +68,34 @@ def shared_postings(packed: DataFrame) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
-        nodes = []
-        for n, r in zip(table["nodes"].to_pylist(), table["runs"].to_pylist(), strict=True):
-            n = np.frombuffer(n, np.int64)
-            nodes.append(np.repeat(n, np.frombuffer(r, np.uint32)) if r else n)
-        nodes = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
-        order = np.argsort(keys >> np.uint64(1))
-        keys = keys[order]
-        same = (keys[1:] ^ keys[:-1]) < 2
-        some = (keys & np.uint64(1)) > 0
+        part, keys, nodes, hot = table["part"][0].as_py(), [], [], []
+        for base, k, n, r in zip(*(table[c].to_pylist() for c in ("base", "keys", "nodes", "runs")), strict=True):
+            keys.append(np.frombuffer(k, np.uint32).astype(np.uint64) | U((part if base < 0 else base) << 32))
+            nodes.append(np.repeat(np.frombuffer(n, np.int64), np.frombuffer(r, np.uint32)))
+            hot.append(np.full(len(keys[-1]), base >= 0))
+        keys, nodes, hot = np.concatenate(keys), np.concatenate(nodes), np.concatenate(hot)
+        order = np.argsort(keys)
+        same = keys[order][1:] == keys[order][:-1]
+        some = hot[order]
         some[1:] |= same
         some[:-1] |= same
-        order, keys = order[some], keys[some]
-        nodes = nodes[order]
-        order = np.lexsort((nodes, keys >> np.uint64(1)))
-        keys, nodes = keys[order], nodes[order]
-        hot, keys = (keys & np.uint64(1)) > 0, keys & ~np.uint64(1)
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]) if len(keys) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        hot = np.logical_or.reduceat(hot, start) if len(start) else hot
-        keys, nodes = keys[new], nodes[new]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(keys)))
-        any_hot = np.logical_or.reduceat(hot, first) if len(first) else hot
-        names = mix(np.add.reduceat(mix(nodes.view(np.uint64)), first) + count.astype(np.uint64)) if len(first) else keys
-        keep = np.repeat((count > 1) | any_hot, count)
-        keys = np.where(np.repeat(any_hot, count), keys, np.repeat(names, count))[keep]
-        return pa.table({"key": keys.view(np.int64), "node": nodes[keep]})
+        order = order[some]
+        keys, nodes, hot = keys[order], nodes[order], hot[order]
+        order = np.lexsort((nodes, keys))
+        keys, nodes, hot = keys[order], nodes[order], hot[order]
+        if len(keys):
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+            start = np.flatnonzero(new)
+            hot, keys, nodes = np.logical_or.reduceat(hot, start), keys[start], nodes[start]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            count = np.diff(np.append(first, len(keys)))
+            any_hot = np.logical_or.reduceat(hot, first)
+            names = mix(np.add.reduceat(mix(nodes.view(np.uint64)), first) + count.astype(np.uint64))
+            keep = np.repeat((count > 1) | any_hot, count)
+            keys = np.where(np.repeat(any_hot, count), mix(keys + U(1)), np.repeat(names, count))[keep]
+            nodes = nodes[keep]
+        return pa.table({"key": keys.view(np.int64), "node": nodes})
 
     return packed.groupBy("part").applyInArrow(run, "key long, node long").distinct()
 
@@ -155,11 +161,11 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def slot_of(nodes: np.ndarray, size: int) -> np.ndarray:
-    return (mix(nodes.view(np.uint64)) >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
+    return (mix(nodes.view(np.uint64)) >> U(64 - (size.bit_length() - 1))).astype(np.int64)
 
 
 def parity(h: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Parity sketches of sets (elements h by set, in order): bit h mod bits is the parity of the elements on it.
+    """Dense parity sketches of sets (elements h by set, in order): each element toggles the bit h mod bits.
 
     A sketch has BITS bits, or BITS times a power of four that is no less than its set.
     """
@@ -186,24 +192,6 @@ def set_rows(nodes: np.ndarray, sizes: np.ndarray, h: np.ndarray, wanted: np.nda
     return pa.RecordBatch.from_arrays([pa.array(nodes[own]), items], ["node", "items"])
 
 
-class Sets:
-    """Sets fetched so far. `fetch(wanted)` reads the corpus for the nodes that pass the filter `wanted`."""
-
-    def __init__(self, fetch: Callable[[np.ndarray], DataFrame]):
-        self.fetch, self.have = fetch, None
-
-    def of(self, nodes: DataFrame) -> DataFrame:
-        """(node, items), of these nodes at least: one more pass over the texts if some are missing."""
-        missing = nodes if self.have is None else nodes.join(self.have.select("node"), "node", "left_anti")
-        missing = cut(missing, "missing")
-        if self.have is None or not missing.isEmpty():
-            found = self.fetch(node_filter(missing)).join(missing, "node", "left_semi")
-            found = cut(found.groupBy("node").agg(F.first("items").alias("items")), "sets", tidy=True)
-            self.have = found if self.have is None else self.have.unionByName(found)
-        forget(missing)
-        return self.have
-
-
 def bound(a: Column, b: Column, percent: int) -> Column:
     """Most symmetric difference of two sets of these sizes at that Jaccard similarity."""
     return F.floor((a + b) * (100 - percent) / (100 + percent))
@@ -226,15 +214,10 @@ def hamming(a: Column, b: Column) -> Column:
     )
 
 
-def verify(pairs: DataFrame, sketches: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """(a, b) -> (a, b, least, most, linked): bounds of the symmetric difference, exact where the sketches allow a link."""
-    one, two = (sketches.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
-    near = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", F.greatest(F.abs(F.col("sa") - F.col("sb")), hamming(F.col("ka"), F.col("kb"))).alias("low"))
-    near = cut(near.withColumn("far", F.col("low") > bound(F.col("sa"), F.col("sb"), percent)), "near", tidy=True)
-    maybe = near.where("not far").select("a", "b")
-    full = sets.of(maybe.select(F.col("a").alias("node")).unionByName(maybe.select(F.col("b").alias("node"))).distinct())
-    both = maybe.join(full.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
-    both = both.join(full.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b").select("a", "b", "ia", "ib")
+def compare_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) -> (a, b, least, most, linked): their symmetric difference, exactly. sets: (node, items)."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b").select("a", "b", "ia", "ib")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,50 +231,59 @@ def verify(pairs: DataFrame, sketches: DataFrame, sets: Sets, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.int32()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
 
     exact = both.mapInArrow(run, "a long, b long, distance int, linked boolean")
-    exact = exact.select("a", "b", F.col("distance").alias("least"), F.col("distance").alias("most"), "linked")
+    return exact.select("a", "b", F.col("distance").alias("least"), F.col("distance").alias("most"), "linked")
+
+
+def compare_sketched(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """As `compare_sets`; pairs whose sketches (node, size, sketch) rule a link out get bounds only."""
+    one, two = (sketches.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
+    near = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", F.greatest(F.abs(F.col("sa") - F.col("sb")), hamming(F.col("ka"), F.col("kb"))).alias("low"))
+    near = cut(near.withColumn("far", F.col("low") > bound(F.col("sa"), F.col("sb"), percent)), "near")
+    exact = compare_sets(near.where("not far").select("a", "b"), sets, percent)
     far = near.where("far").select("a", "b", F.col("low").cast("int").alias("least"), (F.col("sa") + F.col("sb")).alias("most"), F.lit(False).alias("linked"))
     return exact.unionByName(far)
 
 
-def link(postings: DataFrame, sketches: DataFrame, sets: Sets, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+def link(postings: DataFrame, facts: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect all linked nodes, and the components (node, root) they make.
 
-    sketches: (node, size, sketch) of all nodes of the postings, each once.
+    facts: (node, size, and sketch if there is one) of all nodes of the postings, each once. compare: pairs (a, b) to
+    (a, b, least, most, linked), with bounds of their symmetric difference.
 
     Complete for components: two nodes that share a key and are linked are in one component. First every node of a key
     is compared with the least one, then with the one that has most links; then nodes of a key that are still in
     different components are compared, unless their sizes, their distances to the common centre (triangle inequality)
-    or their parity sketches rule a link out.
+    or their sketches rule a link out.
     """
     keep = postings.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("k")).where("k > 1")
-    p = cut(postings.join(keep.select("key", "centre"), "key"), "postings", tidy=True)
+    p = cut(postings.join(keep.select("key", "centre"), "key"), "postings")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = p.where("node <> centre").select(*pair(F.col("node"), F.col("centre"))).distinct()
-    tested = cut(verify(star, sketches, sets, percent), "tested", tidy=True)
+    tested = cut(compare(star), "tested")
     good = tested.where("linked")
     degree = good.select(F.col("a").alias("node")).unionByName(good.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("deg"))
     roots = cut(connected_components(good.select("a", "b")), "roots")
 
     def still_open(p: DataFrame, roots: DataFrame) -> DataFrame:
         labelled = p.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi and k > 2").select("key")
         return labelled.join(split, "key")
 
-    left = cut(still_open(p, roots), "open", tidy=True)
+    left = cut(still_open(p, roots), "open")  # a key of two nodes is done with
+    if left.isEmpty():
+        return good.select("a", "b"), roots
     ranked = left.join(degree, "node", "left")
     best = ranked.groupBy("key").agg(F.max(F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), F.col("node"))).alias("m")).select("key", F.col("m.node").alias("best"))
-    second = left.drop("centre").join(best, "key").select("key", "node", "best")
+    second = left.drop("centre", "root").join(best, "key").select("key", "node", "best")
     star = second.where("node <> best").select(*pair(F.col("node"), F.col("best"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(verify(star, sketches, sets, percent), "tested", tidy=True)
-    known = tested.unionByName(more)
+    known = tested.unionByName(cut(compare(star), "tested"))
     good = known.where("linked").select("a", "b")
     roots = cut(connected_components(good), "roots")
     left = still_open(second, roots)
     a, b = pair(F.col("node"), F.col("best"))
     left = left.withColumn("a", a).withColumn("b", b).join(known.select("a", "b", "least", "most"), ["a", "b"], "left")
     left = left.where("node <> best").select("key", "node", "root", F.coalesce("least", F.lit(0)).alias("least"), F.coalesce("most", F.lit(2**30)).alias("most"))
-    left = left.join(sketches, "node")
-    left = cut(left, "open", tidy=True)
+    left = cut(left.join(facts, "node"), "open")
     x, y = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns]), left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
     most = bound(F.col("x_size"), F.col("y_size"), percent)
     fits = (
@@ -300,10 +292,11 @@ def link(postings: DataFrame, sketches: DataFrame, sets: Sets, percent: int = 75
         & (F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent)
         & (F.col("x_least") - F.col("y_most") <= most)
         & (F.col("y_least") - F.col("x_most") <= most)
-        & (hamming(F.col("x_sketch"), F.col("y_sketch")) <= most)
     )
+    if "sketch" in left.columns:
+        fits &= hamming(F.col("x_sketch"), F.col("y_sketch")) <= most
     cross = x.join(y, fits).select(*pair(F.col("x_node"), F.col("y_node"))).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    last = cut(verify(cross, sketches, sets, percent).where("linked").select("a", "b"), "tested", tidy=True)
+    last = cut(compare(cross).where("linked").select("a", "b"), "tested")
     links = cut(good.unionByName(last), "links")
     out = cut(connected_components(links), "roots")
     forget(p, left, roots, last)

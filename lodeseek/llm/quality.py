@@ -60,7 +60,7 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     again[1:] = (h[1:] == h[:-1]) & (own[1:] == own[:-1])
     h3, t3 = shingles(h, first, 3)
     total3 = np.bincount(t3, minlength=n)
-    kinds3 = np.bincount(distinct(h3, t3)[1], minlength=n)
+    kinds3 = distinct(h3, t3, n)[1]
     ls, le, lfirst = words(data, at, LINE)
     n_lines = np.diff(lfirst)
     lown = np.repeat(np.arange(n), n_lines)

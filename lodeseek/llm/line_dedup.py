@@ -2,7 +2,7 @@
 
 Lines are sets of character shingles; a line shorter than a shingle is one shingle. A one-permutation MinHash with
 optimal densification gives each distinct line a signature; its bands (recall 0.997 at the threshold, more above) make
-candidates; the exact Jaccard similarity of the lines' texts verifies them; connected components of the links keep one
+candidates; the Jaccard similarity of their whole shingle sets (64-bit hashes) verifies them; connected components of the links keep one
 line each: the first of the least document. Exact copies of a line share one name from the start, so a line that a
 third of all rows repeat is counted, not paired.
 """
@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import FOLD, U, mix
+from .bytetext import FOLD, U, distinct, mix
 from .common import cut, numbered, small_batches
-from .linkage import PACKED, buckets_for, link, node_filter, pack, shared_postings, slot_of
+from .linkage import PACKED, buckets_for, link, node_filter, pack, parity, shared_postings, slot_of
 
 #: Characters in a shingle.
 CHARS, PERCENT = 8, 75
@@ -28,8 +28,6 @@ BANDS, ROWS = 16, 4
 BLOCK, STEP, FLUSH = 1 << 20, 1 << 19, 1 << 18
 #: Lines that a task remembers having signed (a further copy is signed again, to no effect).
 REMEMBERED = 200_000
-#: Lines of more characters are compared by 64-bit hashes of their shingles, shorter ones by the shingles themselves.
-LONG = 1 << 16
 
 LOWER = FOLD.tobytes()
 BLANKS = b" \t\n\v\f\r"
@@ -45,27 +43,44 @@ def name_of(line: bytes) -> bytes:
     return blake2b(line, digest_size=16).digest()
 
 
+def shingles_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of lines of CHARS characters and more, by line, and their number in each."""
+    points = np.frombuffer(b"\n".join(lines).decode().encode("utf-32-le") + b"\0" * 4 * CHARS, np.uint32)
+    size = len(points) - CHARS
+    two = np.ndarray((size + CHARS - 1,), "<u8", points, 0, (4,))  # two characters are one number
+    out = np.empty(max(0, size - CHARS + 1), np.uint64)
+    for low in range(0, len(out), STEP):
+        h = np.zeros(min(STEP, len(out) - low), np.uint64)
+        for j in range(0, CHARS, 2):
+            h ^= two[low + j : low + j + len(h)]
+            h *= U(0x9E3779B97F4A7C15)
+            h ^= h >> U(32)
+        h *= U(0xD6E8FEB86659FD93)
+        h ^= h >> U(32)
+        out[low : low + len(h)] = h
+    feed = np.flatnonzero(points[:size] == 10)
+    start = np.concatenate([[0], feed + 1])
+    count = np.append(feed, size) - start - CHARS + 1
+    inside = np.ones(len(out), bool)
+    for back in range(CHARS):  # windows over the end of a line
+        over = feed - back
+        inside[over[(over >= 0) & (over < len(out))]] = False
+    return out[inside], count
+
+
 def signatures(lines: list[bytes]) -> np.ndarray:
     """BANDS * ROWS minima for each line of CHARS characters and more. An empty bin takes that of a bin drawn for it."""
     k, n = BANDS * ROWS, len(lines)
-    points = np.frombuffer(b"\n".join(lines).decode().encode("utf-32-le"), np.uint32)
-    small = np.zeros(len(points) + CHARS, np.uint8)
-    for low in range(0, len(points), STEP):  # eight characters are one number
-        small[low : min(low + STEP, len(points))] = (points[low : low + STEP] * np.uint32(0x9E3779B1)) >> np.uint32(24)
-    eight = np.ndarray((len(points) + 1,), "<u8", small, 0, (1,))
-    feed = np.flatnonzero(points == 10)
-    start = np.concatenate([[0], feed + 1])
-    count = np.append(feed, len(points)) - start - CHARS + 1
+    h, count = shingles_of(lines)
     out = np.full(n * k, 0xFFFFFFFF, np.uint32)
-    ends = np.cumsum(count)
-    for low in range(0, int(ends[-1]), STEP):
-        at = np.arange(low, min(low + STEP, int(ends[-1])))
-        line = np.searchsorted(ends, at, "right")
-        h = mix(eight[at - (ends - count)[line] + start[line]] + U(0x1234567))
-        np.minimum.at(out, line * k + ((h >> U(32)) * U(k) >> U(32)).astype(np.int64), np.minimum(h & U(0xFFFFFFFF), U(0xFFFFFFFE)).astype(np.uint32))
+    line = np.repeat(np.arange(n, dtype=np.int32), count)
+    for low in range(0, len(h), STEP):
+        part = h[low : low + STEP]
+        at = line[low : low + STEP] * k + (((part >> U(32)) * U(k)) >> U(32)).astype(np.int64)
+        np.minimum.at(out, at, np.minimum(part & U(0xFFFFFFFF), U(0xFFFFFFFE)).astype(np.uint32))
     out = out.reshape(n, k)
     has = out != 0xFFFFFFFF
-    row, col = np.nonzero(~has)
+    row, col = np.nonzero(~has & has.any(axis=1, keepdims=True))
     attempt = 0
     while len(row):
         attempt += 1
@@ -100,60 +115,61 @@ def spread_of(keys: np.ndarray, many: int = 1024) -> np.ndarray:
     return out
 
 
-def shingles_of(line: str) -> frozenset[str] | np.ndarray:
-    """The distinct shingles of a line; of a long one, their sorted 64-bit hashes."""
-    n = len(line) - CHARS + 1
-    if n <= LONG:
-        return frozenset([line[i : i + CHARS] for i in range(n)] if n > 0 else [line])
-    raw = np.frombuffer(line.encode("utf-32-le") + b"\0" * 8, np.uint32)
-    out = np.zeros(n, np.uint64)
-    for low in range(0, n, STEP):
-        h = out[low : low + STEP]
-        for j in range(CHARS):
-            h = mix(h ^ (raw[low + j : low + j + len(h)].astype(np.uint64) + U(1 + (j << 32))))
-        out[low : low + STEP] = h
-    return np.unique(out)
-
-
-def common_of(a: frozenset[str] | np.ndarray, b: frozenset[str] | np.ndarray) -> int:
-    if isinstance(a, frozenset) and isinstance(b, frozenset):
-        return len(a & b)
-    if isinstance(a, frozenset) or isinstance(b, frozenset):  # a short line and a long one
-        a, b = (np.unique(np.concatenate([hash_of(x) for x in sorted(s)])) if isinstance(s, frozenset) else s for s in (a, b))
-    return len(np.intersect1d(a, b, assume_unique=True))
+def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours of about so much length together; a longer one stands alone."""
+    low, total = 0, 0
+    for k, n in enumerate(lengths):
+        if total and total + n > most:
+            yield low, k
+            low, total = k, 0
+        total += n
+    if low < len(lengths):
+        yield low, len(lengths)
 
 
-def hash_of(shingle: str) -> np.ndarray:
-    """The hash that a long line has for it."""
-    raw = np.frombuffer(shingle.encode("utf-32-le"), np.uint32)
-    h = np.zeros(1, np.uint64)
-    for j, c in enumerate(raw):
-        h = mix(h ^ U(int(c) + 1 + (j << 32)))
-    return h
+def distinct_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    h, count = shingles_of(lines)
+    return distinct(h, np.repeat(np.arange(len(lines), dtype=np.int32), count), len(lines))
 
 
 def compare_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """(a, b) -> (a, b, least, most, linked): the symmetric difference of two lines' shingles. lines: (node, line)."""
+    """(a, b) -> (a, b, least, most, linked): the symmetric difference of two lines' shingles. lines: (node, line binary)."""
     both = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("ta")), "a")
     both = both.join(lines.select(F.col("node").alias("b"), F.col("line").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, frozenset[str] | np.ndarray] = {}  # a centre's pairs come one after the other
         for batch in batches:
-            distance, linked = [], []
-            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = last[a] if a in last else shingles_of(ta)
-                y = last[b] if b in last else shingles_of(tb)
-                last = {a: x, b: y}
-                n = common_of(x, y)
-                distance.append(len(x) + len(y) - 2 * n)
-                linked.append(100 * n >= percent * (len(x) + len(y) - n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.int32()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
+            one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for i, j in slices([len(x) + len(y) for x, y in zip(one, two, strict=True)], BLOCK):
+                h, size = distinct_shingles([x for both in zip(one[i:j], two[i:j], strict=True) for x in both])
+                size = size.reshape(-1, 2).sum(axis=1)
+                low = np.concatenate([[0], np.cumsum(size)])
+                for k in range(j - i):
+                    h[low[k] : low[k + 1]].sort()
+                same = np.append(h[1:] == h[:-1], False)
+                same[low[1:] - 1] = False
+                common = np.add.reduceat(same, low[:-1], dtype=np.int64)
+                linked = 100 * common >= percent * (size - common)
+                columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(size - 2 * common, pa.int32()), pa.array(linked)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "distance", "linked"])
 
     done = both.mapInArrow(run, "a long, b long, distance int, linked boolean")
     return done.select("a", "b", F.col("distance").alias("least"), F.col("distance").alias("most"), "linked")
 
 
+def sketched(lines: DataFrame) -> DataFrame:
+    """(node, line) -> (node, size, sketch): the number of shingles and their dense parity sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for i, j in slices([len(x) for x in texts], BLOCK):
+                h, size = distinct_shingles(texts[i:j])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int32()), parity(mix(h), size)], ["node", "size", "sketch"])
+
+    return lines.select("node", "line").mapInArrow(run, "node long, size int, sketch array<bigint>")
+
+
 def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, row, line, kept_doc_id, kept_row, kept_line) of every line of docs (doc_id, text) that goes, with the line kept for it.
 
@@ -253,13 +269,12 @@ def _linked(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
             found = list({x for text in batch.column(0) for x in lines_of(text.as_py()) if len(x) >= CHARS})
             nodes = np.array([node_of(x) for x in found], np.int64)
             pick = np.flatnonzero(wanted.value[slot_of(nodes, len(wanted.value))] > 0)
-            kept = [found[k].decode() for k in pick.tolist()]
-            sizes = pa.array([len(shingles_of(x)) for x in kept], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[pick]), sizes, pa.array(kept, pa.string())], ["node", "size", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[pick]), pa.array([found[k] for k in pick.tolist()], pa.binary())], ["node", "line"])
 
-    texts = docs.select("text").mapInArrow(fetch, "node long, size int, line string").join(shared, "node", "left_semi")
+    texts = docs.select("text").mapInArrow(fetch, "node long, line binary").join(shared, "node", "left_semi")
     texts = cut(texts.dropDuplicates(["node"]), "texts")
-    return link(postings, texts.select("node", "size"), lambda pairs: compare_lines(pairs, texts, percent), percent)[1]
+    facts = lambda nodes: sketched(texts.join(nodes, "node", "left_semi"))
+    return link(postings, facts, lambda pairs: compare_lines(pairs, texts, percent), percent)[1]
 
 
 def node_of(line: bytes) -> int:
@@ -281,6 +296,6 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1).cast("long")
     out = out.withColumn("n_lines", n).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn("text", text)
     return out.select(*keep, "n_lines", "n_removed")

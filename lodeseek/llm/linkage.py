@@ -25,6 +25,8 @@ SETS = "node long, items binary"
 BITS = 1024
 #: Entries of one row of a byte table; fewest and most entries of a table.
 ENTRIES, LEAST, MOST = 1 << 16, 1 << 16, 1 << 26
+#: Keys of a node that pairs look through so as to come from one key only.
+FEW = 256
 #: Buckets that a spread key goes to at most.
 SPREAD = 1 << 16
 
@@ -244,11 +246,11 @@ def compare_sketched(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, per
     return exact.unionByName(far)
 
 
-def link(postings: DataFrame, facts: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int = 75) -> tuple[DataFrame, DataFrame]:
+def link(postings: DataFrame, facts: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect all linked nodes, and the components (node, root) they make.
 
-    facts: (node, size, and sketch if there is one) of all nodes of the postings, each once. compare: pairs (a, b) to
-    (a, b, least, most, linked), with bounds of their symmetric difference.
+    facts: (node) to (node, size, sketch), each node once. compare: pairs (a, b) to (a, b, least, most, linked), with
+    bounds of their symmetric difference.
 
     Complete for components: two nodes that share a key and are linked are in one component. First every node of a key
     is compared with the least one, then with the one that has most links; then nodes of a key that are still in
@@ -283,7 +285,10 @@ def link(postings: DataFrame, facts: DataFrame, compare: Callable[[DataFrame], D
     a, b = pair(F.col("node"), F.col("best"))
     left = left.withColumn("a", a).withColumn("b", b).join(known.select("a", "b", "least", "most"), ["a", "b"], "left")
     left = left.where("node <> best").select("key", "node", "root", F.coalesce("least", F.lit(0)).alias("least"), F.coalesce("most", F.lit(2**30)).alias("most"))
-    left = cut(left.join(facts, "node"), "open")
+    left = cut(left, "open")
+    few = left.groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") <= FEW).select("node")
+    own = left.join(few, "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    left = cut(left.join(facts(left.select("node").distinct()), "node").join(own, "node", "left"), "open")
     x, y = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns]), left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
     most = bound(F.col("x_size"), F.col("y_size"), percent)
     fits = (
@@ -293,8 +298,9 @@ def link(postings: DataFrame, facts: DataFrame, compare: Callable[[DataFrame], D
         & (F.col("x_least") - F.col("y_most") <= most)
         & (F.col("y_least") - F.col("x_most") <= most)
     )
-    if "sketch" in left.columns:
-        fits &= hamming(F.col("x_sketch"), F.col("y_sketch")) <= most
+    fits &= hamming(F.col("x_sketch"), F.col("y_sketch")) <= most
+    both = F.array_min(F.array_intersect("x_keys", "y_keys"))  # a pair comes from the least of its keys only
+    fits &= both.isNull() | (both == F.col("x_key"))
     cross = x.join(y, fits).select(*pair(F.col("x_node"), F.col("y_node"))).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
     last = cut(compare(cross).where("linked").select("a", "b"), "tested")
     links = cut(good.unionByName(last), "links")

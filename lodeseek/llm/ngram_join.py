@@ -221,7 +221,7 @@ def _join(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFram
                     yield found
 
     sets = cut(docs.select("text").mapInArrow(fetch, SETS).join(shared, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    links, roots = link(postings, sketches, lambda pairs: compare_sketched(pairs, sketches, sets, percent), percent)
+    links, roots = link(postings, lambda nodes: sketches.join(nodes, "node", "left_semi"), lambda pairs: compare_sketched(pairs, sketches, sets, percent), percent)
     return members, links, roots
 
 

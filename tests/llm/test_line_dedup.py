@@ -118,12 +118,17 @@ def test_different_long_lines_stay(spark):
     assert short[0] != short[1]
 
 
-def test_long_lines(spark):
-    """Lines beyond LONG, against each other and against shorter ones."""
+def test_long_lines(spark, monkeypatch):
+    """Lines longer than what is worked on at once."""
+    monkeypatch.setattr(line_dedup, "STEP", 1000)
+    monkeypatch.setattr(line_dedup, "BLOCK", 5000)
     rng = random.Random(9)
-    base = "".join(rng.choice("abcdefgh ") for _ in range(line_dedup.LONG + 3000)).strip()
-    rows = list(enumerate([base, base[:200] + "xyz" + base[200:], base[: line_dedup.LONG - 100], base[: line_dedup.LONG // 2], base[::-1]]))
+    base = "".join(rng.choice("abcdefgh é") for _ in range(70_000)).strip()
+    rows = list(enumerate([base, base[:200] + "xyz" + base[200:], base[:60_000], base[:30_000], base[::-1], "short\n" + base[:9]]))
     compare(line_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    for lines in ([base, base[:20], "é" * 9], ["a" * 8], ["\U0001f600b" * 4, "b" * 3000]):
+        h, size = line_dedup.distinct_shingles([x.encode() for x in lines])
+        assert size.tolist() == [len({x[i : i + 8] for i in range(len(x) - 7)}) for x in lines] and len(h) == size.sum()
 
 
 def test_hot_lines_and_stored_rows(spark, tmp_path):

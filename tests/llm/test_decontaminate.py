@@ -1,9 +1,13 @@
 """Decontamination against a direct search for every window."""
 
 import hashlib
+import random
 import re
 
+import pyarrow as pa
+
 from lodeseek.llm import decontaminate
+from lodeseek.llm.bytetext import texts
 from lodeseek.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -55,3 +59,57 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, *_, bad in expected([d[:2] for d in docs], [i for i in items if i[1]]) if not bad)
     assert decontaminate.report(df.limit(0), bench).count() == 0
     assert decontaminate.decontaminate(df, bench.limit(0)).count() == len(docs)
+
+
+def test_any_size_of_benchmark(spark):
+    """Several passes give what one gives, on both sides of a pass's words."""
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.choice([3, 9, 10, 25, 60])))) for i in range(40)]
+    docs = []
+    for d in range(60):
+        w = [rng.choice(pool) for _ in range(rng.randrange(80))]
+        for _ in range(rng.randrange(3)):
+            part = rng.choice(items)[1].split()
+            low = rng.randrange(max(1, len(part) - 9))
+            k = rng.randrange(len(w) + 1)
+            w[k:k] = part[low : low + rng.randrange(9, 40)]
+        docs.append((d if d % 7 else 7, " ".join(w)))
+    docs += [(None, docs[3][1]), (None, docs[4][1]), (1, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = decontaminate.report(df, bench).collect()
+    want = sorted(tuple(r) for r in decontaminate.digest(decontaminate.report(df, bench)).collect() if r.doc_id is not None)
+    assert want == expected([d for d in docs if d[0] is not None], items)
+    for most in (10**6, 500, 40):
+        got = decontaminate.report(df, bench, most=most).collect()
+        plain = lambda rows: sorted((str(r.doc_id), r.n_words, r.n_hit, r.item_ids, sorted(map(tuple, r.matches))) for r in rows)
+        assert plain(got) == plain(whole)
+        left = decontaminate.decontaminate(df, bench, most=most).collect()
+        assert sorted(str(r.doc_id) for r in left) == sorted(str(r.doc_id) for r in whole if not r.n_hit)
+
+
+def test_longest_matches():
+    """Every maximal common run of words that holds a window, against a direct search."""
+    rng = random.Random(8)
+    for _ in range(30):
+        pool = [f"v{i}" for i in range(rng.choice([2, 5, 40]))]
+        text = lambda n: [rng.choice(pool) for _ in range(n)]
+        items = [text(rng.randrange(1, 30)) for _ in range(4)]
+        docs = [text(rng.randrange(0, 60)) + rng.choice(items) + ["unknown"] + text(5) for _ in range(5)]
+        tests = decontaminate.Tests([(str(k), " ".join(x)) for k, x in enumerate(items)])
+        data, at = texts(pa.array([" ".join(d) for d in docs]))
+        got = decontaminate.search(tests, data, at, True)[3]
+        for d, found in zip(docs, got, strict=True):
+            want = set()
+            for k, x in enumerate(items):
+                for i in range(len(x)):
+                    for j in range(len(d)):
+                        if i and j and x[i - 1] == d[j - 1]:
+                            continue
+                        n = 0
+                        while i + n < len(x) and j + n < len(d) and x[i + n] == d[j + n]:
+                            n += 1
+                        if n >= min(10, len(x)):
+                            want.add((str(k), i, j, n))
+            assert {m[:4] for m in found} == want and len(found) == len(want)

@@ -2,7 +2,11 @@
 
 import zlib
 
+import numpy as np
+import pyarrow as pa
+
 from lodeseek.llm import quality
+from lodeseek.llm.bytetext import texts
 from lodeseek.llm.queries import QUERIES
 
 
@@ -30,4 +34,52 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
     assert quality.score(docs.limit(0), model).count() == 0
     assert {r.score for r in quality.score(docs, quality.learn(docs, labels.limit(0))).collect()} == {1.0}
-    assert quality.learn(docs.limit(0), labels).net is None
+    assert quality.learn(docs.limit(0), labels).weights is None
+    twice = quality.learn(docs.unionByName(docs).repartition(3), labels.unionByName(labels))
+    assert abs(twice.prior - model.prior) < 0.2 and np.isfinite(twice.weights).all()
+
+
+def planted(n, prior, seed):
+    """Features of n unlabelled rows, of which a share `prior` is positive, and of n // 2 positives."""
+    rng = np.random.default_rng(seed)
+
+    def rows(k, positive):
+        x = rng.normal(0, 1, (k, quality.WIDTH))
+        x[:, 0] += 3 * positive
+        x[:, 3] -= 2 * positive
+        return x.astype(np.float16)
+
+    own = rng.random(n) < prior
+    return np.concatenate([rows(1, o) for o in own]), rows(n // 2, 1), own
+
+
+def test_risk_and_prior(spark):
+    """The fit minimises the non-negative risk as written out here, and the prior comes from positives and unlabelled rows alone."""
+    for prior in (0.3, 0.8):
+        u, p, own = planted(3000, prior, 3)
+        rows = [(False, k % 2, x.tobytes()) for k, x in enumerate(u)] + [(True, k % 2, x.tobytes()) for k, x in enumerate(p)]
+        sums = quality.Sums(spark.createDataFrame(rows, "p boolean, part int, x binary").repartition(3))
+        model = quality.Classifier(np.zeros(quality.WIDTH, np.float32), np.ones(quality.WIDTH, np.float32), None, 0.5)
+        assert abs(quality.estimate_prior(sums, model) - prior) < 0.08
+        w = quality.fit(sums, model, prior, 25)
+        zp, zu = model.inputs(p).astype(float), model.inputs(u).astype(float)
+        decay = quality.DECAY + quality.MORE / len(p)
+
+        def risk(w):
+            loss = lambda z, y: np.log1p(np.exp(-y * (z @ w))).mean()
+            return prior * loss(zp, 1) + max(0, loss(zu, -1) - prior * loss(zp, -1)) + decay / 2 * w @ w
+
+        rng = np.random.default_rng(1)
+        assert all(risk(w) <= risk(w + d) + 1e-4 for d in rng.normal(0, 0.05, (40, len(w))))
+        assert np.mean((zu @ w > 0) == own) > 0.85
+
+
+def test_features_of_long_texts_in_pieces(monkeypatch):
+    """What is counted in pieces is the same as at once; texts do not run into one another."""
+    some = ["Plain words, and some more.\nA second line!", "", "a", "ab", "é | # |\n\n| x |" * 300, "word " * 2000]
+    data, at = texts(pa.array(some))
+    whole = quality.features(data, at)
+    monkeypatch.setattr(quality, "BLOCK", 97)
+    assert np.allclose(quality.features(data, at), whole)
+    each = np.concatenate([quality.features(*texts(pa.array([t]))) for t in some])
+    assert np.allclose(each, whole, atol=1e-6)

@@ -43,12 +43,19 @@ def name_of(line: bytes) -> bytes:
     return blake2b(line, digest_size=16).digest()
 
 
+def points_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of lines of CHARS characters and more, a line feed between them, and the first shingle and the number of shingles of each."""
+    points = np.frombuffer(b"\n".join(lines).decode().encode("utf-32-le"), np.uint32)
+    feed = np.flatnonzero(points == 10)
+    start = np.concatenate([[0], feed + 1])
+    return points, start, np.append(feed, len(points)) - start - CHARS + 1
+
+
 def shingles_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the shingles of lines of CHARS characters and more, by line, and their number in each."""
-    points = np.frombuffer(b"\n".join(lines).decode().encode("utf-32-le") + b"\0" * 4 * CHARS, np.uint32)
-    size = len(points) - CHARS
-    two = np.ndarray((size + CHARS - 1,), "<u8", points, 0, (4,))  # two characters are one number
-    out = np.empty(max(0, size - CHARS + 1), np.uint64)
+    """64-bit hashes of the shingles, by line, and their number in each."""
+    points, start, count = points_of(lines)
+    two = np.ndarray((len(points) - 1,), "<u8", points, 0, (4,))  # two characters are one number
+    out = np.empty(len(points) - CHARS + 1, np.uint64)
     for low in range(0, len(out), STEP):
         h = np.zeros(min(STEP, len(out) - low), np.uint64)
         for j in range(0, CHARS, 2):
@@ -58,27 +65,38 @@ def shingles_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h *= U(0xD6E8FEB86659FD93)
         h ^= h >> U(32)
         out[low : low + len(h)] = h
-    feed = np.flatnonzero(points[:size] == 10)
-    start = np.concatenate([[0], feed + 1])
-    count = np.append(feed, size) - start - CHARS + 1
     inside = np.ones(len(out), bool)
     for back in range(CHARS):  # windows over the end of a line
-        over = feed - back
-        inside[over[(over >= 0) & (over < len(out))]] = False
+        inside[start[1:] - 1 - back] = False
     return out[inside], count
 
 
 def signatures(lines: list[bytes]) -> np.ndarray:
-    """BANDS * ROWS minima for each line of CHARS characters and more. An empty bin takes that of a bin drawn for it."""
+    """BANDS * ROWS minima for each line of CHARS characters and more. An empty bin takes that of a bin drawn for it.
+
+    For these a character counts by eight bits (its own up to 255), so that a shingle is one number.
+    """
     k, n = BANDS * ROWS, len(lines)
-    h, count = shingles_of(lines)
-    out = np.full(n * k, 0xFFFFFFFF, np.uint32)
-    line = np.repeat(np.arange(n, dtype=np.int32), count)
-    for low in range(0, len(h), STEP):
-        part = h[low : low + STEP]
-        at = line[low : low + STEP] * k + (((part >> U(32)) * U(k)) >> U(32)).astype(np.int64)
-        np.minimum.at(out, at, np.minimum(part & U(0xFFFFFFFF), U(0xFFFFFFFE)).astype(np.uint32))
-    out = out.reshape(n, k)
+    points, start, count = points_of(lines)
+    small = np.zeros(len(points) + CHARS, np.uint8)
+    for low in range(0, len(points), STEP):
+        part = points[low : low + STEP]
+        small[low : low + len(part)] = part ^ ((part >> np.uint32(8)) * np.uint32(0x9D))
+    eight = np.ndarray((len(points) - CHARS + 1,), "<u8", small, 0, (1,))
+    out = np.full((n + 1) * k, 0xFFFFFFFF, np.uint32)  # windows over the end of a line go to the last row
+    row = np.full(len(eight), n * k, np.int32 if n * k < 2**31 else np.int64)
+    for i, (a, c) in enumerate(zip(start.tolist(), count.tolist(), strict=True)):
+        row[a : a + c] = i * k
+    for low in range(0, len(eight), STEP):
+        h = eight[low : low + STEP] * U(0x9E3779B97F4A7C15)
+        h ^= h >> U(29)
+        h *= U(0xBF58476D1CE4E5B9)
+        value = (h >> U(16)).astype(np.uint32)
+        h >>= U(48)
+        h *= U(k)
+        h >>= U(16)
+        np.minimum.at(out, row[low : low + len(h)] + h.astype(np.int32), value)
+    out = out[: n * k].reshape(n, k)
     has = out != 0xFFFFFFFF
     row, col = np.nonzero(~has & has.any(axis=1, keepdims=True))
     attempt = 0
@@ -293,9 +311,10 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     work = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("__file").alias("file"), F.col("__row").alias("row"))
     gone = _duplicates(work, percent).groupBy(F.col("file").alias("__file"), F.col("row").alias("__row")).agg(F.collect_set("line").alias("__gone"))
     out = rows.join(gone, ["__file", "__row"], "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    hit = F.col("__gone").isNotNull()
+    out = out.withColumn("__lines", F.when(hit, F.split("text", "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    text = F.when(hit, F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")).otherwise(F.col("text"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1).cast("long")
     out = out.withColumn("n_lines", n).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn("text", text)
     return out.select(*keep, "n_lines", "n_removed")

@@ -246,6 +246,19 @@ def compare_sketched(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, per
     return exact.unionByName(far)
 
 
+def _in_columns(rows: DataFrame) -> DataFrame:
+    """A sketch of the least size as columns s0, s1, ..., others as they are: columns are compared in compiled code."""
+    least = F.size("sketch") == BITS // 64
+    return rows.select(
+        *[c for c in rows.columns if c != "sketch"], F.when(~least, F.col("sketch")).alias("sketch"),
+        *[F.when(least, F.get("sketch", F.lit(i))).alias(f"s{i}") for i in range(BITS // 64)],
+    )
+
+
+def _as_array(side: str, words: int) -> Column:
+    return F.array(*[F.col(f"{side}_s{i}") for i in range(words)])
+
+
 def link(postings: DataFrame, facts: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect all linked nodes, and the components (node, root) they make.
 
@@ -288,7 +301,8 @@ def link(postings: DataFrame, facts: Callable[[DataFrame], DataFrame], compare:
     left = cut(left, "open")
     few = left.groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") <= FEW).select("node")
     own = left.join(few, "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
-    left = cut(left.join(facts(left.select("node").distinct()), "node").join(own, "node", "left"), "open")
+    left = _in_columns(left.join(facts(left.select("node").distinct()), "node").join(own, "node", "left"))
+    left = cut(left, "open")
     x, y = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns]), left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
     most = bound(F.col("x_size"), F.col("y_size"), percent)
     fits = (
@@ -298,7 +312,10 @@ def link(postings: DataFrame, facts: Callable[[DataFrame], DataFrame], compare:
         & (F.col("x_least") - F.col("y_most") <= most)
         & (F.col("y_least") - F.col("x_most") <= most)
     )
-    fits &= hamming(F.col("x_sketch"), F.col("y_sketch")) <= most
+    words = BITS // 64
+    quick = sum(F.bit_count(F.col(f"x_s{i}").bitwiseXOR(F.col(f"y_s{i}"))) for i in range(words))
+    other = hamming(F.coalesce("x_sketch", _as_array("x", words)), F.coalesce("y_sketch", _as_array("y", words)))
+    fits &= F.when(F.col("x_s0").isNotNull() & F.col("y_s0").isNotNull(), quick).otherwise(other) <= most
     both = F.array_min(F.array_intersect("x_keys", "y_keys"))  # a pair comes from the least of its keys only
     fits &= both.isNull() | (both == F.col("x_key"))
     cross = x.join(y, fits).select(*pair(F.col("x_node"), F.col("y_node"))).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")

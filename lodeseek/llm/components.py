@@ -35,16 +35,16 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def connected_components(edges: DataFrame, native: bool = False) -> DataFrame:
-    """edges (a, b: long) -> (node, root: long) for every node of an edge; equal roots: one component.
+    """edges (a, b: long) -> (node, root) for every node of an edge; equal roots: one component. `native` takes nodes of any type.
 
     Each round, every node points at the neighbour (or itself) of least hashed rank, pointers jump once, and the
     edges are rewritten to what their ends point at; loops and repeats go. The ranks are hashed anew each round, so
     chains are short and the graph shrinks geometrically. A hub's edges are pre-aggregated before each shuffle, and
     joins have one row per node on one side, so AQE can split a hub. Once no more than LAST edges are left, one task
-    finishes them; `native` contracts to the end instead, without Python. Null ends are no edges; an empty input gives
-    an empty result.
+    finishes them; `native` contracts to the end instead, without Python. Null ends are no edges, repeated edges count once, a node tied with itself is left out; an empty input
+    gives an empty result.
     """
-    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    pairs = edges.select("a", "b") if native else edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     e = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     maps: list[DataFrame] = []
     while n := e.count():

@@ -14,9 +14,10 @@ from pyspark.sql import Window
 from .common import ascii_lower
 
 #: Words in a shingle; one hash in so many is kept.
-WORDS, SCALE = 5, 8
-#: Most buckets of neighbouring ids: what is broadcast to deal out neighbours stays under this many rows.
-BUCKETS, ROWS = 65_536, 2_000
+WORDS, SCALE = 5, 2
+#: Neighbouring ids go to buckets of about so many rows: quantile pieces of the ids, PIECES at most, each cut into
+#: equal widths, CUTS at most. What is broadcast to deal out neighbours stays under PIECES * CUTS rows.
+ROWS, PIECES, CUTS = 2_000, 256, 256
 
 
 def hashes(text: Column) -> Column:
@@ -51,31 +52,40 @@ def merge(sketches: DataFrame, keys: list[str], sketch: str = "sketch") -> DataF
     return sketches.select(*keys, F.explode(sketch).alias("h")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("h")).alias(sketch))
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, bucket): buckets of neighbouring ids; they ascend with the ids, null ids are in bucket -1."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = docs.count()
+    pieces = max(1, min(PIECES, n // ROWS))
+    bounds = docs.approxQuantile("doc_id", [k / pieces for k in range(pieces + 1)], 0.2 / pieces) or [0.0]
+    low = sorted({float(x) for x in bounds[:-1] or bounds})
+    cuts = min(CUTS, max(1, n // ROWS // pieces))
+    width = [max(1.0, (b - a) / cuts) for a, b in zip(low, [*low[1:], bounds[-1] + 1], strict=True)]
+    i = F.col("doc_id").cast("double")
+    piece = F.greatest(F.size(F.filter(F.lit(low), lambda x: x <= i)) - 1, F.lit(0))
+    inside = F.floor((i - F.get(F.lit(low), piece)) / F.get(F.lit(width), piece))  # grows with the id
+    inside = F.least(F.greatest(inside, F.lit(0)), F.lit(cuts - 1))
+    return docs.withColumn("bucket", F.when(i.isNull(), -1).otherwise(piece * CUTS + inside).cast("long"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> adds next_text, the text of the next doc_id, after the last that of the first.
 
     One shuffle moves the texts, to buckets of neighbouring ids; the first row of a bucket also goes to the bucket
-    before it. Rows of one doc_id follow each other by text; null ids come first. Only the buckets' first ids, BUCKETS
-    at most, are broadcast. If ids are bunched, buckets are uneven and spill.
+    before it. Rows of one doc_id follow each other by text; null ids come first. Only the buckets' first ids, PIECES *
+    CUTS at most, are broadcast. If ids are bunched, the quantiles keep a bucket under a 256th of the rows or so; it spills.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not n:
-        return docs.withColumn("next_text", F.col("text"))
-    lo, hi = (lo or 0), (hi or 0)
-    width = max(1, -(-(hi - lo + 1) // min(BUCKETS, max(1, n // ROWS))))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - lo) / width), F.lit(-1)).cast("long")
-    docs = docs.withColumn("bucket", bucket)
+    docs = dealt(docs)
     firsts = docs.groupBy("bucket").agg(F.min("doc_id").alias("first"))
-    order = Window.orderBy("bucket")  # BUCKETS + 1 rows at most
+    order = Window.orderBy("bucket")  # PIECES * CUTS + 1 rows at most
     firsts = firsts.withColumn("before", F.lag("bucket").over(order)).withColumn("last", F.max("bucket").over(Window.partitionBy()))
     firsts = firsts.select(F.col("bucket").alias("own"), "first", F.coalesce("before", "last").alias("before"))
-    dealt = docs.join(F.broadcast(firsts), (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    placed = docs.join(F.broadcast(firsts), (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
     spots = F.when(F.col("before").isNull(), F.array(F.struct(F.col("bucket").alias("at"), F.lit(0).alias("guest"))))
     spots = spots.otherwise(F.array(F.struct(F.col("bucket").alias("at"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("at"), F.lit(1).alias("guest"))))
-    dealt = dealt.select("doc_id", "text", F.explode(spots).alias("s")).select("doc_id", "text", "s.at", "s.guest")
+    placed = placed.select("doc_id", "text", F.explode(spots).alias("s")).select("doc_id", "text", "s.at", "s.guest")
     w = Window.partitionBy("at").orderBy("guest", "doc_id", "text")
-    return dealt.withColumn("next_text", F.lead("text").over(w)).where("guest = 0").drop("at", "guest")
+    return placed.withColumn("next_text", F.lead("text").over(w)).where("guest = 0").drop("at", "guest")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:

@@ -58,7 +58,9 @@ def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+    """The table has no repositories: an owner is a source, and what it has in one language a repository."""
+    repo = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), repo=repo))
 
 
 QUERIES = {
@@ -113,15 +115,16 @@ FROM k GROUP BY conv_id"""
 
 def _span_sql(kind: str, ord_: int, pattern: str, group: int, least: int) -> str:
     p = pattern.replace("'", "''")
-    return f"""SELECT doc_id, source, '{kind}' AS kind, {ord_} AS o, h, v, CAST(list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(hs, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS s
- FROM (SELECT doc_id, source, hs, g, unnest(hs) AS h, unnest(vs) AS v, unnest(range(1, len(hs) + 1)) AS i FROM (SELECT doc_id, source, regexp_extract_all(text, '{p}', 0) AS hs, regexp_extract_all(text, '{p}', {group}) AS vs, regexp_split_to_array(text, '{p}') AS g FROM t)) WHERE length(v) >= {least}"""
+    return f"""SELECT doc_id, source, lang, '{kind}' AS kind, {ord_} AS o, h, v, CAST(list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(hs, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS s
+ FROM (SELECT doc_id, source, lang, hs, g, unnest(hs) AS h, unnest(vs) AS v, unnest(range(1, len(hs) + 1)) AS i FROM (SELECT doc_id, source, lang, regexp_extract_all(text, '{p}', 0) AS hs, regexp_extract_all(text, '{p}', {group}) AS vs, regexp_split_to_array(text, '{p}') AS g FROM t)) WHERE length(v) >= {least}"""
 
 
-_SECRET = f"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+_SECRET = f"""WITH t AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
 m AS ({" UNION ALL ".join(_span_sql(k, i, *x[:3]) for i, (k, *x) in enumerate(secret_scan.KINDS))}),
-looks AS (SELECT *, s + length(h) AS e, length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AS l FROM m),
-live AS (SELECT v FROM looks WHERE l GROUP BY v HAVING count(DISTINCT coalesce(source, '')) = 1),
-spans AS (SELECT doc_id, kind, o, s, e FROM looks WHERE kind <> 'opaque' UNION ALL SELECT DISTINCT doc_id, 'live', 4, e - length(v), e FROM looks WHERE l AND v IN (SELECT v FROM live)),
+looks AS (SELECT *, s + length(h) AS e, length(v) >= {secret_scan.LEAST_CHARS} AND len(regexp_extract_all(v, '{secret_scan.GLUED}')) >= {secret_scan.LEAST_GLUED} AND list_aggregate(string_split(v, ''), 'entropy') >= {secret_scan.LEAST_BITS} AS l FROM m),
+freq AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT source || '/' || lang) AS repos FROM looks WHERE l GROUP BY v),
+marked AS (SELECT v, CASE WHEN owners = 1 AND repos <= {secret_scan.LIVE_REPOS} THEN 'live' WHEN owners >= {secret_scan.EXAMPLE_OWNERS} THEN 'example' END AS k FROM freq),
+spans AS (SELECT doc_id, kind, o, s, e FROM looks WHERE kind <> 'opaque' UNION ALL SELECT DISTINCT doc_id, k, CASE k WHEN 'live' THEN 4 ELSE 5 END, e - length(v), e FROM looks JOIN marked USING (v) WHERE l AND k IS NOT NULL),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS x,
  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e) FILTER (o < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e) AS spans FROM spans GROUP BY doc_id)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)"""

@@ -60,11 +60,28 @@ def glob_regex(glob: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
-def excluded(path: Column, globs: list[str]) -> Column:
-    """Whether a pattern fits the path or one of its ancestor directories."""
+def universal(text: Column) -> Column:
+    """The text with every line end as a line feed."""
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
+#: Fixed value: what ends a line of a symbol.
+LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+
+
+def split_lines(text: Column) -> Column:
+    """The lines without their ends; an end at the end opens no further line."""
+    parts = F.split(text, LINE_END, -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def excluded(path: Column, globs: list[str], root: str = "") -> Column:
+    """Whether a pattern fits the path or one of its ancestor directories; with a root, of those below it."""
     p = F.translate(path, "\\", "/")
     steps = F.split(p, "/")
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
+    above = len(root.replace("\\", "/").rstrip("/").split("/")) if root else 0
+    own = F.greatest(F.size(steps) - above, F.lit(0))
+    ancestors = F.transform(F.sequence(F.lit(1), F.greatest(own, F.lit(1))), lambda i: F.array_join(F.slice(steps, F.lit(1), i + above), "/"))
     fits = lambda g: lambda a: a.rlike(glob_regex(g))
     hit = F.lit(False)
     for g in globs:

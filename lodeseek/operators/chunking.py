@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Chunking
 from ..functions.ids import chunk_id, content_hash
+from ..functions.text import split_lines, universal
 
 #: Fixed value: what an overlap keeps, least first.
 PRIORITY = {"function": 0, "method": 0, "struct": 1, "interface": 1, "class": 2, "namespace": 3, "code": 4}
@@ -14,8 +15,8 @@ OVERLAP = 0.8
 
 
 def lines_of(text: Column) -> Column:
-    """Lines with their line feeds; a final line feed opens no further line."""
-    parts = F.split(text, "\n", -1)
+    """Lines with their line feeds (any line end is one); a final line feed opens no further line."""
+    parts = F.split(universal(text), "\n", -1)
     last = F.size(parts) - 1
     kept = F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit("\n"))).otherwise(x))
     return F.filter(kept, lambda x: x != "")
@@ -56,20 +57,20 @@ def symbol_chunks(symbols: DataFrame, c: Chunking) -> DataFrame:
     Symbols of fewer than min_lines go unless they have a parent; those beyond max_lines are split into parts that
     overlap, each with its number in the header.
     """
-    s = symbols.withColumn("n", F.col("end_line") - F.col("start_line") + 1).where((F.col("n") >= c.min_lines) | (F.col("parent_class") != ""))
-    s = s.withColumn("lines", F.split("content", "\n", -1))
+    s = symbols.withColumn("lines", split_lines(F.col("content"))).withColumn("n", F.size("lines"))
+    s = s.where((F.col("n") >= c.min_lines) | (F.col("parent_class") != ""))
     whole = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(1).alias("of")))
     cuts = starts(F.col("n"), step_of(c))
     parts = F.transform(cuts, lambda at, i: F.struct(at.alias("at"), (i + 1).alias("i"), F.size(cuts).alias("of")))
     s = s.withColumn("p", F.explode(F.when(F.col("n") <= c.max_lines, whole).otherwise(parts)))
     split = F.col("p.i") > 0
-    body = F.when(split, F.slice("lines", F.col("p.at") + 1, c.max_lines)).otherwise(F.col("lines"))
+    body = F.slice("lines", F.col("p.at") + 1, c.max_lines)
     mark = F.when(split, F.concat(F.lit(" (part "), F.col("p.i").cast("string"), F.lit("/"), F.col("p.of").cast("string"), F.lit(")"))).otherwise("")
     out = s.select(
         "file_path", "language", "symbol_type", "symbol_name", "parent_class", "namespace", "project_name",
         (F.col("start_line") + F.col("p.at")).alias("start_line"),
         F.when(split, F.col("start_line") + F.col("p.at") + F.size(body) - 1).otherwise(F.col("end_line")).alias("end_line"),
-        F.concat(header(), mark, F.lit("\n"), F.array_join(body, "\n")).alias("content"),
+        F.concat(header(), mark, F.lit("\n"), F.when(split, F.array_join(body, "\n")).otherwise(F.col("content"))).alias("content"),
     )
     return dedupe_overlaps(_finished(out))
 
@@ -86,7 +87,7 @@ def overlap_ratio(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(common > 0, common / F.least(a1 - a0 + 1, b1 - b0 + 1)).otherwise(0.0)
 
 
-def _priority(kind: Column) -> Column:
+def priority(kind: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p]), kind), F.lit(4))
 
 
@@ -98,18 +99,16 @@ def overlap_pairs(chunks: DataFrame, least: float = OVERLAP) -> DataFrame:
 
 
 def dedupe_overlaps(chunks: DataFrame) -> DataFrame:
-    """Drops a class, struct or interface that a more important chunk without a parent overlaps by OVERLAP.
+    """Drops a chunk that one of higher priority, kept itself, overlaps by OVERLAP.
 
-    Only priorities 1 and 2 can go, so two anti-joins reproduce the greedy scan: 1 by 0, then 2 by 0 and what is left of 1.
+    A class, struct or interface does not go by a chunk that has a parent. Chunks of one priority do not touch one
+    another, so one anti-join for each priority gives what a greedy scan in that order does.
     """
-    ranked = chunks.withColumn("rank", _priority(F.col("symbol_type")))
-
-    def without(victims: DataFrame, by: DataFrame) -> DataFrame:
-        k = by.where("parent_class = ''").select(F.col("file_path").alias("k_path"), F.col("start_line").alias("k0"), F.col("end_line").alias("k1"))
+    ranked = chunks.withColumn("rank", priority(F.col("symbol_type")))
+    kept = ranked.where("rank = 0")
+    for rank in sorted(set(PRIORITY.values()) - {0}):
+        k = kept.select(F.col("file_path").alias("k_path"), F.col("start_line").alias("k0"), F.col("end_line").alias("k1"), F.col("parent_class").alias("k_parent"))
         hit = overlap_ratio(F.col("k0"), F.col("k1"), F.col("start_line"), F.col("end_line")) >= OVERLAP
-        return victims.join(k, (F.col("file_path") == F.col("k_path")) & hit, "left_anti")
-
-    first = ranked.where("rank = 0")
-    second = without(ranked.where("rank = 1"), first)
-    third = without(ranked.where("rank = 2"), first.unionByName(second))
-    return first.unionByName(second).unionByName(third).unionByName(ranked.where("rank > 2")).drop("rank")
+        may = ~F.col("symbol_type").isin("class", "struct", "interface") | (F.col("k_parent") == "")
+        kept = kept.unionByName(ranked.where(F.col("rank") == rank).join(k, (F.col("file_path") == F.col("k_path")) & hit & may, "left_anti"))
+    return kept.drop("rank")

@@ -33,6 +33,21 @@ def postings(chunks: DataFrame, positions: bool = False) -> DataFrame:
     return each.groupBy("token", "chunk_id").agg(*out)
 
 
+def index_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What search reads, to be stored by token: (token, chunk_id, tf, dl, positions), and (chunk_id, dl) of all chunks.
+
+    dl, the chunk's number of tokens, stands beside each posting, so that scoring needs no join.
+    """
+    name = "symbol_name" in chunks.columns
+    both = F.concat(tokens(F.col("content")), F.array(F.lit("")), tokens(F.coalesce("symbol_name", F.lit("")))) if name else tokens(F.col("content"))
+    dl = F.size(F.filter("t", lambda x: x != ""))
+    rows = chunks.select("*", both.alias("t")).select("chunk_id", dl.alias("dl"), "t", *[c for c in ("bucket",) if c in chunks.columns])
+    keys = ["chunk_id", "dl", *[c for c in ("bucket",) if c in chunks.columns]]
+    each = rows.select(*keys, F.posexplode("t").alias("pos", "token")).where("token <> ''")
+    posted = each.groupBy("token", *keys).agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return posted, rows.select(*keys)
+
+
 def term_stats(posted: DataFrame) -> DataFrame:
     """(token, df, cf): chunks that hold a token, and its occurrences."""
     return posted.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -92,16 +107,43 @@ def bm25(chunks: DataFrame, query: str, mode: str = "all", where: Column | None
     return found.select("chunk_id", F.round(reduce(lambda a, b: a + b, parts), DIGITS).alias("score"))
 
 
-def bm25_indexed(posted: DataFrame, lengths: DataFrame, words: Sequence[str], mode: str = "all") -> DataFrame:
-    """(chunk_id, score) from stored postings and lengths: reads the rows of the query's words only."""
-    words = list(dict.fromkeys(words))
-    rows = posted.where(F.col("token").isin(words))
-    df = rows.groupBy("token").agg(F.count("*").alias("df"))
+def bm25_indexed(posted: DataFrame, lengths: DataFrame, query: str, mode: str = "all", among: DataFrame | None = None) -> DataFrame:
+    """As `bm25`, from what `index_postings` stored: reads the rows of the query's tokens and the lengths only.
+
+    among: (chunk_id) of the chunks that may be results. One query's postings are grouped by chunk; no text is read.
+    """
+    words, phrases, prefixes = query_terms(query)
+    parts = []
+    if words:
+        place = F.create_map(*[F.lit(x) for k, w in enumerate(words) for x in (w, k)])
+        parts.append(posted.where(F.col("token").isin(words)).select(place[F.col("token")].alias("term"), "chunk_id", "dl", "tf"))
+    for k, phrase in enumerate(phrases, len(words)):
+        rows = posted.where(F.col("token").isin(list(phrase)))
+        at = rows.groupBy("chunk_id", "dl").agg(*[F.flatten(F.collect_list(F.when(F.col("token") == w, F.col("positions")))).alias(f"p{i}") for i, w in enumerate(phrase)])
+        begins = F.filter("p0", lambda x: reduce(lambda a, b: a & b, [F.array_contains(F.col(f"p{i}"), x + i) for i in range(1, len(phrase))]))
+        parts.append(at.select(F.lit(k).alias("term"), "chunk_id", "dl", _apart(begins, len(phrase)).alias("tf")).where("tf > 0"))
+    for k, prefix in enumerate(prefixes, len(words) + len(phrases)):
+        rows = posted.where(F.col("token").startswith(prefix)).groupBy("chunk_id", "dl").agg(F.sum("tf").cast("int").alias("tf"))
+        parts.append(rows.select(F.lit(k).alias("term"), "chunk_id", "dl", "tf"))
+    if not parts:
+        return lengths.select("chunk_id", F.lit(0.0).alias("score")).where("false")
+    hits = reduce(DataFrame.unionByName, parts)
+    n = len(words) + len(phrases) + len(prefixes)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    scored = rows.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))  # a row a word; one row
-    need = len(words) if mode == "all" else 1
-    best = scored.join(lengths, "chunk_id").withColumn("w", _term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), idf(F.col("n"), F.col("df"))))
-    return best.groupBy("chunk_id").agg(F.round(F.sum("w"), DIGITS).alias("score"), F.count("*").alias("k")).where(F.col("k") >= need).drop("k")
+    scored = hits if among is None else hits.join(among.select("chunk_id"), "chunk_id", "left_semi")
+    scored = scored.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # a row a term; one row
+    weight = _term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), idf(F.col("n"), F.col("df")))
+    total = F.aggregate(F.array_sort(F.collect_list(F.struct("term", weight.alias("w")))), F.lit(0.0), lambda s, x: s + x["w"])  # in the terms' order
+    found = scored.groupBy("chunk_id").agg(F.round(total, DIGITS).alias("score"), F.count("*").alias("k"))
+    return found.where(F.col("k") >= (n if mode == "all" else 1)).select("chunk_id", "score")
+
+
+def _apart(begins: Column, length: int) -> Column:
+    """How many of the ascending positions stand apart by a length, taken from the left."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("free"))
+    step = lambda s, x: F.when(x >= s["free"], F.struct((s["n"] + 1).alias("n"), (x + length).alias("free"))).otherwise(s)
+    return F.aggregate(begins, start, step, lambda s: s["n"])
 
 
 def dense(vectors: DataFrame, query: Sequence[float], where: Column | None = None) -> DataFrame:
@@ -132,30 +174,43 @@ def best_fused(fused: DataFrame, k: int) -> DataFrame:
 
 
 def hybrid_search(
-    chunks: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], top_k: int = 20, alpha: float = 0.7,
-    filters: dict[str, str] | None = None, min_score: float = 0.0, mode: str = "all",
+    chunks: DataFrame, vectors: DataFrame, posted: DataFrame, lengths: DataFrame, query: str, vector: Sequence[float], top_k: int = 20,
+    alpha: float = 0.7, filters: dict[str, str] | None = None, min_score: float = 0.0, mode: str = "all",
 ) -> DataFrame:
-    """Chunks with score and rank: both rankings to depth 2k, fused, the texts joined to the k best only."""
+    """Chunks with score and rank: both rankings to depth 2k, fused, the texts joined to the k best only.
+
+    posted, lengths: what `index_postings` stored.
+    """
     on = [F.col(c) == v for c, v in (filters or {}).items()]
     where = reduce(lambda a, b: a & b, on) if on else None
-    fused = rrf(top(dense(vectors, vector, where), 2 * top_k), top(bm25(chunks, query, mode, where), 2 * top_k), alpha)
+    among = None if where is None else chunks.where(where).select("chunk_id")
+    sparse = bm25_indexed(posted, lengths, query, mode, among)
+    fused = rrf(top(dense(vectors, vector, where), 2 * top_k), top(sparse, 2 * top_k), alpha)
     best = best_fused(fused, top_k)
     if min_score > 0:
         best = best.where(F.col("score") >= min_score)
     return chunks.join(F.broadcast(best.select("chunk_id", "score", "rank")), "chunk_id").orderBy("rank")  # k rows
 
 
+#: Most (query, token) rows that are broadcast against the postings.
+BROADCAST_TOKENS = 200_000
+
+
 def query_batch(posted: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Top k of each query by BM25 (any term), all queries in one job: (query_id, chunk_id, score, rank).
 
-    queries: (query_id, query, top_k); a null top_k is k. The join is on the token, the ranking per query.
+    queries: (query_id, query, top_k); a null top_k is k. The queries' tokens with their weights go to the stored
+    postings (by broadcast up to BROADCAST_TOKENS rows), scores are summed before they are shuffled, then ranked per query.
     """
     asked = queries.select("query_id", F.coalesce("top_k", F.lit(k)).alias("top_k"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
-    rows = asked.join(posted, "token")
-    df = term_stats(posted.join(asked.select("token").distinct(), "token", "left_semi")).select("token", "df")
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    scored = rows.join(df, "token").join(lengths, "chunk_id").crossJoin(F.broadcast(stats))  # one row
-    weight = _term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), idf(F.col("n"), F.col("df")))
+    few = asked.count() <= BROADCAST_TOKENS
+    small = F.broadcast if few else (lambda x: x)
+    wanted = asked.select("token").distinct()
+    n, avgdl = lengths.agg(F.count("*"), F.avg("dl")).first()
+    df = posted.join(small(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    weighted = asked.join(df, "token").select("query_id", "top_k", "token", idf(F.lit(n), F.col("df")).alias("idf"))
+    scored = posted.select("token", "chunk_id", "tf", "dl").join(small(weighted), "token")
+    weight = _term_weight(F.col("tf"), F.col("dl"), F.lit(avgdl), F.col("idf"))
     summed = scored.groupBy("query_id", "top_k", "chunk_id").agg(F.round(F.sum(weight), DIGITS).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return summed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("top_k")).drop("top_k")

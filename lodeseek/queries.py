@@ -6,14 +6,18 @@ their vectors (vec_id is the doc_id, label the symbol type).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import Chunking
+from .config import Chunking, Project, Search, Settings
 from .functions import ids, text, vector
-from .operators import changes, chunking, mutations, retrieval, stats
-from .plans.session import outline
-from .sources.files import document_files
+from .operators import ann, changes, chunking, mutations, retrieval, stats
+from .plans.parse import parse_symbols
+from .plans.session import chunk_files, outline
+from .sources.files import document_files, listing, read_files
+from .sources.store import Store, shared_folder
 
 WINDOWS = Chunking(min_lines=2, max_lines=10, overlap_lines=2)
 QUERY, EXCLUDE = "the worthless", ["*/1*.en", "src7"]
@@ -48,6 +52,30 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("symbol_type"))
 
 
+#: Stored indexes by application and table.
+_INDEX: dict[tuple[str, str], Store] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Postings, by token, and lengths of the documents: built and stored once for an application and a state of the table."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = ";".join(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(place))
+    name = hashlib.md5(state.encode()).hexdigest()
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _INDEX:
+        store = Store(spark, f"{shared_folder(spark)}/index-{name}")
+        posted, lengths = retrieval.index_postings(_chunks(spark, d).select("chunk_id", "content"))
+        store.write("postings", posted.repartitionByRange("token", "chunk_id").sortWithinPartitions("token"))  # a frequent token in several parts
+        store.write("lengths", lengths)
+        _INDEX[key] = store
+    return _INDEX[key].read("postings"), _INDEX[key].read("lengths")
+
+
+def _sparse(spark, d, words, mode="all", among=None):
+    return retrieval.bm25_indexed(*stored_index(spark, d), words, mode, among)
+
+
 def _asked(spark: SparkSession, d: str) -> list[float]:
     """The query vector: that of the least vec_id."""
     return list(_t(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0])
@@ -102,10 +130,10 @@ best AS (SELECT chunk_id, score, CAST(row_number() OVER (ORDER BY score DESC, o,
 # scans and projections
 
 
-@query("SELECT source || '/' || doc_id || '.' || lang AS file_path, source AS project_name, lang AS language, n_chars FROM documents WHERE source IN ('src1', 'src2')")
+@query("SELECT source || '/' || doc_id || '.' || lang AS file_path, source AS project_name, lang AS language, n_chars, substr(sha256(text), 1, 16) AS digest FROM documents")
 def scan_documents(spark, d):
-    docs = _t(spark, d, "documents").where(F.col("source").isin("src1", "src2"))
-    return docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang")).alias("file_path"), F.col("source").alias("project_name"), F.col("lang").alias("language"), "n_chars")
+    docs = _t(spark, d, "documents")
+    return docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang")).alias("file_path"), F.col("source").alias("project_name"), F.col("lang").alias("language"), "n_chars", F.substring(F.sha2("text", 256), 1, 16).alias("digest"))
 
 
 @query("SELECT doc_id, source, lang, text FROM documents WHERE doc_id = 42")
@@ -138,15 +166,83 @@ def outline_partial_path(spark, d):
 @query(f"WITH {bm25_sql(QUERY.split())} SELECT t.chunk_id, round(score, 6) AS score, source || '/' || doc_id || '.' || lang AS file_path, lang AS language, substr(text, 1, 1000) AS content FROM sparse_top t JOIN documents ON CAST(doc_id AS VARCHAR) = chunk_id WHERE rank <= 20")
 def search_result_projection(spark, d):
     c = _chunks(spark, d)
-    best = retrieval.top(retrieval.bm25(c, QUERY), 20)
+    best = retrieval.top(_sparse(spark, d, QUERY), 20)
     return c.join(F.broadcast(best), "chunk_id").select("chunk_id", F.round("score", 6).alias("score"), "file_path", "language", F.substring("content", 1, 1000).alias("content"))  # 20 rows
 
 
-@query()
+@query(f"WITH {bm25_sql(QUERY.split())} SELECT CAST(to_json({{'chunk_id': t.chunk_id, 'score': round(score, 6), 'file_path': source || '/' || doc_id || '.' || lang, 'language': lang, 'content': substr(text, 1, 1000)}}) AS VARCHAR) AS json FROM sparse_top t JOIN documents ON CAST(doc_id AS VARCHAR) = chunk_id WHERE rank <= 20")
 def search_to_json(spark, d):
     return search_result_projection(spark, d).select(F.to_json(F.struct("*")).alias("json"))
 
 
+# files and symbols
+
+
+@query()
+def scan_files(spark, d):
+    """The folder's own files, by the scan that projects use."""
+    root = d.split("://", 1)[1] if d.startswith("file://") else d
+    return listing(spark, Project("tables", [root], [".parquet"])).select("file_path", "project_name")
+
+
+@query()
+def read_listed_files(spark, d):
+    """This package's sources with their text's hash."""
+    import os
+
+    files = read_files(listing(spark, Project("self", [os.path.dirname(os.path.abspath(__file__))], [".py"], ["*/llm"])))
+    return files.select("file_path", "sha256", "language", F.length("content").alias("n_chars"))
+
+
+def _sources(spark, d):
+    """A C++ file for each nation and a C# file for each region."""
+    n, r = _t(spark, d, "nation"), _t(spark, d, "region")
+    k = lambda c: F.col(c).cast("string")
+    cpp = "namespace n@ {\nclass C@ {\npublic:\n    int get@() {\n        return @;\n    }\n};\nint free@(int x) {\n    return x;\n}\n}\n"
+    cs = "namespace R@ {\n    public interface I@ { }\n    public class K@ {\n        public int Put@(int k) {\n            return k;\n        }\n    }\n}\n"
+    make = lambda df, c, body, end: df.select(F.concat(F.lit("src/f"), k(c), F.lit(end)).alias("file_path"), F.lit("p").alias("project_name"), F.replace(F.lit(body), F.lit("@"), k(c)).alias("content"))
+    both = make(n, "n_nationkey", cpp, ".cpp").unionByName(make(r, "r_regionkey", cs, ".cs"))
+    return both.withColumn("language", text.language_of(F.col("file_path")))
+
+
+@query("""WITH s(kind, name, parent, space, a, b) AS (VALUES ('class', 'n@::C@', '', 'n@', 2, 7), ('method', 'n@::C@::get@', 'C@', 'n@', 4, 6), ('function', 'n@::free@', '', 'n@', 8, 10)),
+c(kind, name, parent, space, a, b) AS (VALUES ('interface', 'R@.I@', '', 'R@', 2, 2), ('class', 'R@.K@', '', 'R@', 3, 7), ('method', 'R@.K@.Put@', 'K@', 'R@', 4, 6)),
+j AS (SELECT CAST(n_nationkey AS VARCHAR) AS k, '.cpp' AS e, s.* FROM nation, s UNION ALL SELECT CAST(r_regionkey AS VARCHAR), '.cs', c.* FROM region, c)
+SELECT 'src/f' || k || e AS file_path, kind AS symbol_type, replace(name, '@', k) AS symbol_name, replace(parent, '@', k) AS parent_class, replace(space, '@', k) AS namespace, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line FROM j""")
+def parse_files(spark, d):
+    return parse_symbols(_sources(spark, d)).select("file_path", "symbol_type", "symbol_name", "parent_class", "namespace", "start_line", "end_line")
+
+
+@query("""WITH s(kind, name, a, b) AS (VALUES ('class', 'n@::C@', 2, 7), ('method', 'n@::C@::get@', 4, 6), ('function', 'n@::free@', 8, 10)),
+c(kind, name, a, b) AS (VALUES ('class', 'R@.K@', 3, 7), ('method', 'R@.K@.Put@', 4, 6)),
+j AS (SELECT CAST(n_nationkey AS VARCHAR) AS k, '.cpp' AS e, s.* FROM nation, s UNION ALL SELECT CAST(r_regionkey AS VARCHAR), '.cs', c.* FROM region, c)
+SELECT 'src/f' || k || e AS file_path, kind AS symbol_type, replace(name, '@', k) AS symbol_name, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line FROM j""")
+def chunk_dispatch(spark, d):
+    """Symbols become chunks: of three lines and more, or of a class."""
+    s = Settings([], Chunking(3, 80, 10), Search())
+    return chunk_files(_sources(spark, d), s).select("file_path", "symbol_type", "symbol_name", "start_line", "end_line")
+
+
+RANKS = "r AS (SELECT CAST(l_orderkey AS VARCHAR) AS file_path, l_orderkey || '-' || l_linenumber AS chunk_id, CAST(l_linenumber AS INTEGER) AS s, CAST(l_linenumber + CAST(trunc(l_quantity) AS INTEGER) AS INTEGER) AS e, ['namespace', 'code', 'function', 'class'][CAST(l_suppkey % 4 + 1 AS INTEGER)] AS kind, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'P' END AS parent FROM lineitem), p AS (SELECT *, CASE kind WHEN 'function' THEN 0 WHEN 'class' THEN 2 WHEN 'namespace' THEN 3 ELSE 4 END AS k FROM r)"
+
+
+def _beaten(k: int, kept: str) -> str:
+    ratio = "CASE WHEN least(a.e, b.e) - greatest(a.s, b.s) + 1 > 0 THEN (least(a.e, b.e) - greatest(a.s, b.s) + 1) / least(a.e - a.s + 1, b.e - b.s + 1) ELSE 0 END"
+    return f"SELECT * FROM p a WHERE k = {k} AND NOT EXISTS (SELECT 1 FROM {kept} b WHERE b.file_path = a.file_path AND {ratio} >= 0.8{' AND b.parent = ' + chr(39) * 2 if k == 2 else ''})"
+
+
+@query(f"WITH {RANKS}, k0 AS (SELECT * FROM p WHERE k = 0), k2 AS (SELECT * FROM k0 UNION ALL {_beaten(2, 'k0')}), k3 AS (SELECT * FROM k2 UNION ALL {_beaten(3, 'k2')}), k4 AS (SELECT * FROM k3 UNION ALL {_beaten(4, 'k3')}) SELECT chunk_id, kind AS symbol_type FROM k4")
+def dedupe_all_kinds(spark, d):
+    return chunking.dedupe_overlaps(_ranges(spark, d, ("namespace", "code", "function", "class"))).select("chunk_id", "symbol_type")
+
+
+@query(f"WITH {FILES} SELECT doc_id, CAST(len(string_split(x, chr(10))) - CASE WHEN ends_with(x, chr(10)) THEN 1 ELSE 0 END AS INTEGER) AS n FROM (SELECT doc_id, replace(content, '. ', '.' || chr(13)) || chr(10) AS y, replace(content, '. ', '.' || chr(10)) || chr(10) AS x FROM files)")
+def universal_line_ends(spark, d):
+    """Lines of the texts with carriage returns after sentences."""
+    f = _files(spark, d).withColumn("content", F.concat(F.replace(F.col("content"), F.lit(". "), F.lit(".\r")), F.lit("\r\n")))
+    return f.select("doc_id", F.size(chunking.lines_of(F.col("content"))).alias("n"))
+
+
 # scalars
 
 
@@ -250,11 +346,11 @@ def chunk_header(spark, d):
     return chunking.symbol_chunks(_symbols(spark, d), WINDOWS).select("file_path", "start_line", F.substring_index("content", "\n", 1).alias("header"))
 
 
-def _ranges(spark, d):
-    """Line items as line ranges of an order: function and class chunks that overlap in many ways."""
+def _ranges(spark, d, kinds=("class", "struct", "function", "method", "interface")):
+    """Line items as line ranges of an order: chunks of these kinds that overlap in many ways."""
     li = _t(spark, d, "lineitem")
     start = F.col("l_linenumber").cast("int")
-    kind = F.element_at(F.array(*map(F.lit, ("class", "struct", "function", "method", "interface"))), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("l_suppkey") % len(kinds) + 1).cast("int"))
     key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     return li.select(F.col("l_orderkey").cast("string").alias("file_path"), key.alias("chunk_id"), start.alias("start_line"), (start + F.col("l_quantity").cast("int")).alias("end_line"), kind.alias("symbol_type"), F.when(F.col("l_partkey") % 2 == 0, "").otherwise("P").alias("parent_class"))
 
@@ -305,9 +401,9 @@ def setop_intersect(spark, d):
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).intersect(_t(spark, d, "orders").select("o_custkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 20 <> 0")
 def setop_except(spark, d):
-    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).join(_t(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti").distinct()
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, d, "orders").where("o_orderkey % 20 <> 0").select("o_custkey"))
 
 
 @query("SELECT DISTINCT source AS project_name FROM documents WHERE source <> '' AND source NOT IN ('src1', 'src2', 'src4')")
@@ -350,7 +446,7 @@ def vector_count(spark, d):
 
 @query(f"SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT token, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS token FROM documents) GROUP BY 1, 2) GROUP BY 1")
 def term_stats(spark, d):
-    return retrieval.term_stats(retrieval.postings(_chunks(spark, d)))
+    return retrieval.term_stats(stored_index(spark, d)[0])
 
 
 # retrieval
@@ -361,6 +457,16 @@ def dense_topk(spark, d):
     return retrieval.top(retrieval.dense(_vectors(spark, d), _asked(spark, d)), 40).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def ann_topk(spark, d):
+    """Approximate: recall against dense_topk is measured in the tests."""
+    store = Store(spark, f"{shared_folder(spark)}/cells-{hashlib.md5(d.encode()).hexdigest()}")
+    vectors = _vectors(spark, d)
+    ann.build(store, vectors, 32)
+    found = ann.search(store, _asked(spark, d), 40, 16, "chunk_id string, vector array<float>, symbol_type string")
+    return found.select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {dense_sql('label = 3')} SELECT chunk_id, round(score, 6) AS score, rank FROM dense_top WHERE rank <= 40")
 def dense_topk_filtered(spark, d):
     return retrieval.top(retrieval.dense(_vectors(spark, d), _asked(spark, d), F.col("symbol_type") == "3"), 40).select("chunk_id", F.round("score", 6).alias("score"), "rank")
@@ -368,18 +474,18 @@ def dense_topk_filtered(spark, d):
 
 @query(f"WITH {bm25_sql(QUERY.split())} SELECT chunk_id, round(score, 6) AS score, rank FROM sparse_top WHERE rank <= 40")
 def bm25_topk(spark, d):
-    return retrieval.top(retrieval.bm25(_chunks(spark, d), QUERY), 40).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.top(_sparse(spark, d, QUERY), 40).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {bm25_sql(['the', 'with'], 'any', '''source = 'src1' AND lang = 'en' ''')} SELECT chunk_id, round(score, 6) AS score, rank FROM sparse_top WHERE rank <= 40")
 def bm25_topk_filtered(spark, d):
     where = (F.col("project_name") == "src1") & (F.col("language") == "en")
-    return retrieval.top(retrieval.bm25(_chunks(spark, d), "the with", "any", where), 40).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.top(_sparse(spark, d, "the with", "any", _chunks(spark, d).where(where)), 40).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _fused(spark, d, alpha):
     dense = retrieval.top(retrieval.dense(_vectors(spark, d), _asked(spark, d)), 40)
-    return retrieval.rrf(dense, retrieval.top(retrieval.bm25(_chunks(spark, d), QUERY), 40), alpha)
+    return retrieval.rrf(dense, retrieval.top(_sparse(spark, d, QUERY), 40), alpha)
 
 
 @query(f"WITH {dense_sql()}, {bm25_sql(QUERY.split())}, {fused_sql(0.7)} SELECT chunk_id, round(score, 6) AS score FROM fused")
@@ -392,7 +498,7 @@ def _hybrid_sql(alpha: float) -> str:
 
 
 def _hybrid(spark, d, alpha):
-    found = retrieval.hybrid_search(_chunks(spark, d), _vectors(spark, d), QUERY, _asked(spark, d), 20, alpha)
+    found = retrieval.hybrid_search(_chunks(spark, d), _vectors(spark, d), *stored_index(spark, d), QUERY, _asked(spark, d), 20, alpha)
     return found.select("chunk_id", F.round("score", 6).alias("score"), "rank", "file_path", "language", "content")
 
 
@@ -420,9 +526,8 @@ rk AS (SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, score, C
 
 
 def _batch(spark, d):
-    posted = retrieval.postings(_chunks(spark, d))
     asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("int").alias("top_k"))
-    return retrieval.query_batch(posted, retrieval.doc_lengths(posted), asked, 10)
+    return retrieval.query_batch(*stored_index(spark, d), asked, 10)
 
 
 @query(f"WITH {BATCH} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
@@ -439,7 +544,7 @@ def retrieval_eval(spark, d):
 
 @query(f"WITH {dense_sql()}, {bm25_sql(QUERY.split())}, {fused_sql(0.7)}, h AS (SELECT best.*, len(list_intersect(list_distinct({TOK.format('substr(text, 1, 512)')}), ['the', 'worthless'])) / 2 AS again FROM best JOIN documents ON CAST(doc_id AS VARCHAR) = chunk_id WHERE rank <= 20) SELECT chunk_id, round(again, 6) AS score, CAST(row_number() OVER (ORDER BY again DESC, rank) AS INTEGER) AS rank FROM h QUALIFY row_number() OVER (ORDER BY again DESC, h.rank) <= 8")
 def rerank(spark, d):
-    found = retrieval.hybrid_search(_chunks(spark, d), _vectors(spark, d), QUERY, _asked(spark, d), 20, 0.7)
+    found = retrieval.hybrid_search(_chunks(spark, d), _vectors(spark, d), *stored_index(spark, d), QUERY, _asked(spark, d), 20, 0.7)
     return retrieval.rerank(found, QUERY, 8).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 

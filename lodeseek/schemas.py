@@ -8,3 +8,5 @@ CHUNKS = (
 SYMBOLS = "symbol_type string, symbol_name string, parent_class string, namespace string, start_line int, end_line int, content string"
 VECTORS = "chunk_id string, point_id decimal(20,0), vector array<float>, language string, symbol_type string, project_name string"
 CACHE = "content_hash string, vector array<float>"
+POSTINGS = "token string, chunk_id string, dl int, tf int, positions array<int>"
+LENGTHS = "chunk_id string, dl int"

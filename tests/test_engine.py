@@ -12,8 +12,9 @@ from lodeseek.functions import ids, text
 from lodeseek.operators import chunking, retrieval
 from lodeseek.plans import parse
 from lodeseek.plans.session import CodeSearch
+from lodeseek.sources.files import listing
 from lodeseek.sources.store import Store
-from lodeseek.streaming.ingest import ingest
+from lodeseek.streaming.ingest import ingest, upsert_batch
 
 CPP = """#include <map>
 // namespace hidden { void no(); }
@@ -155,9 +156,13 @@ def test_bm25_rules(spark):
     want = math.log((n - dfq + 0.5) / (dfq + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
     assert abs(retrieval.bm25(df, "foo").first().score - want) < 1e-8
     posted = retrieval.postings(df)
-    a = {r.chunk_id: r.score for r in retrieval.bm25(df, "alpha gamma", "any").collect()}
-    b = {r.chunk_id: r.score for r in retrieval.bm25_indexed(posted, retrieval.doc_lengths(posted), ["alpha", "gamma"], "any").collect()}
-    assert a == b
+    assert posted.count() == 13
+    posted, lengths = retrieval.index_postings(df)
+    for q in ("alpha gamma", '"alpha beta" gamma', "alpha_beta foo", "alph* beta", "N::Foo", "", "none", "alpha alpha"):
+        for mode in ("all", "any"):
+            a = {r.chunk_id: r.score for r in retrieval.bm25(df, q, mode).collect()}
+            b = {r.chunk_id: r.score for r in retrieval.bm25_indexed(posted, lengths, q, mode).collect()}
+            assert a == b, (q, mode)
 
 
 def test_fusion_ties(spark):
@@ -203,11 +208,15 @@ def test_life_of_an_index(spark, tmp_path, tree):
     assert "fresh_marker_fn" in e.search("fresh_marker_fn").first().content
     assert e.chunks().where("content like '%Socket%' or file_path like '%b.cs'").count() == 0
     assert e.stats().first().total_files == 3 and e.project_stats().first().files == 3
-    assert e.vectors().count() == e.chunks().count()
+    assert e.vectors().count() == e.chunks().count() == e.lengths().count()
+    s = e.status().first()
+    assert s.total_vectors == s.total_chunks and s.entries > 0 and s.disk_mb > 0 and not s.size_mismatch
     batch = spark.createDataFrame([(0, "fresh marker", None), (1, "bytes", 1)], "query_id int, query string, top_k int")
     assert {r.query_id for r in e.query_batch(batch).collect()} >= {0}
     other = engine(spark, tmp_path, two={"source_paths": [str(tree / "build")], "extensions": [".cpp"]})
     other.index()  # project one is gone from the settings
+    plan = other.search("generated").select("chunk_id")._jdf.queryExecution().executedPlan().toString()
+    assert "In(token" in plan or "EqualTo(token" in plan  # the postings of the query's tokens only
     assert {r.project_name for r in other.files().collect()} == {"two"} and other.chunks().where("project_name = 'one'").count() == 0
     before = other.cache().count()
     assert other.collect_cache().count() < before
@@ -226,9 +235,135 @@ def test_streaming_ingest(spark, tmp_path):
     schema = "file_path string, mtime double, project_name string, content string, language string"
     source = tmp_path / "in"
     body = "void f{}() {{\n  int a;\n  int b;\n}}\n"
-    store, s = Store(spark, f"{tmp_path}/store"), config.settings({"indexer": {"chunk_min_lines": 2}})
+    e = CodeSearch(spark, f"{tmp_path}/store", config.settings({"indexer": {"chunk_min_lines": 2}}))
     for k, names in enumerate((["a", "b"], ["b"])):
         rows = [(f"{n}.cpp", float(k), "p", body.format(f"{n}{k}"), "cpp") for n in names]
         spark.createDataFrame(rows, schema).write.mode("append").json(str(source))
-        ingest(spark.readStream.schema(schema).json(str(source)), store, s, str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r.symbol_name for r in store.read("chunks").collect()) == ["fa0", "fb1"]
+        ingest(spark.readStream.schema(schema).json(str(source)), e, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.symbol_name for r in e.chunks().collect()) == ["fa0", "fb1"]
+    assert e.files().count() == 2 and e.vectors().count() == 2 and {r.token for r in e.postings().collect()} >= {"fa0", "fb1"}
+    assert e.search("fb1").first().symbol_name == "fb1"
+
+
+def test_an_update_reads_and_rewrites_what_changed(spark, tmp_path):
+    root = tmp_path / "many"
+    root.mkdir()
+    for k in range(30):
+        (root / f"f{k}.cpp").write_text(f"int g{k}(int x) {{\n  int a;\n  return {k};\n}}\n")
+    e = engine(spark, tmp_path, one={"source_paths": [str(root)], "extensions": [".cpp"]})
+    e.index()
+    before = e.store.buckets("chunks")
+    (root / "f3.cpp").write_text("int fresh(int x) {\n  int a;\n  return 3;\n}\n")
+    os.utime(root / "f3.cpp", (2e9, 2e9))
+    os.utime(root / "f4.cpp", (2e9, 2e9))  # touched only
+    assert {r.status: r.n for r in e.index().collect()} == {"modified": 1}
+    assert e.store.read("fresh").count() == 2  # no other file was read
+    after = e.store.buckets("chunks")
+    assert 1 <= sum(after[b] != before.get(b) for b in after) <= 2 and e.chunks().count() == 30
+    assert e.search("fresh").first().symbol_name == "fresh" and e.search("g3").where("symbol_name = 'g3'").count() == 0
+    e.index()
+    assert e.store.read("fresh").count() == 0
+
+
+def test_exclusion_is_tried_below_the_root(spark, tmp_path):
+    root = tmp_path / "build" / "src"
+    (root / "build").mkdir(parents=True)
+    (root / "a.cpp").write_text("int a;")
+    (root / "build" / "b.cpp").write_text("int b;")
+    found = listing(spark, config.Project("p", [str(root)], [".CPP"], ["*/build"])).collect()
+    assert [r.file_path for r in found] == [str(root / "a.cpp")]
+    p = F.lit(f"{root}/a.cpp")
+    assert not spark.range(1).select(text.excluded(p, ["*/build"], str(root))).first()[0] and spark.range(1).select(text.excluded(p, ["*/build"])).first()[0]
+
+
+def test_line_ends(spark):
+    c = config.Chunking(1, 2, 0)
+    df = spark.createDataFrame([("f", "en", "p", "a\rb\rc\r")], "file_path string, language string, project_name string, content string")
+    assert [(r.start_line, r.end_line, r.content) for r in chunking.sliding_chunks(df, c).orderBy("start_line").collect()] == [(1, 2, "a\nb\n"), (3, 3, "c\n")]
+    for s in ("", "a", "a\n", "a\r\nb", "a\r\rb\n\n", "a\x0bb\x0cc\u2028d\x85e\x1c", "\n"):
+        assert spark.range(1).select(text.split_lines(F.lit(s))).first()[0] == s.splitlines(), repr(s)
+
+
+def test_overlaps_of_all_kinds(spark):
+    rows = [("f", k, 1, 10, t, p) for k, t, p in (("1", "function", ""), ("2", "namespace", ""), ("3", "code", ""))]
+    rows += [("g", "4", 1, 10, "method", "K"), ("g", "5", 1, 10, "class", ""), ("g", "6", 1, 10, "namespace", "")]
+    df = spark.createDataFrame(rows, "file_path string, chunk_id string, start_line int, end_line int, symbol_type string, parent_class string")
+    assert sorted(r.chunk_id for r in chunking.dedupe_overlaps(df).collect()) == ["1", "4", "5"]
+
+
+def test_rows_without_project_stay(spark, tmp_path):
+    e = engine(spark, tmp_path, one={"source_paths": [str(tmp_path)], "extensions": [".none"]})
+    rows = [("x.cpp", 1.0, "", "int f() {\n  int a;\n  return 1;\n}\n", "cpp"), ("y.cpp", 1.0, "old", "int f() {\n  int a;\n  return 1;\n}\n", "cpp")]
+    upsert_batch(e, spark.createDataFrame(rows, "file_path string, mtime double, project_name string, content string, language string"))
+    assert e.files().count() == 2
+    assert {r.status: r.n for r in e.index().collect()} == {"deleted": 1}
+    assert [r.file_path for r in e.files().collect()] == ["x.cpp"] and e.chunks().count() == 1
+
+
+def test_tools(spark, tmp_path, tree):
+    import http.client
+    import io
+    import threading
+
+    from lodeseek import serve
+
+    e = engine(spark, tmp_path, one={"source_paths": [str(tree)], "extensions": [".cpp", ".cs"]})
+    e.index()
+    serve.log_to(str(tmp_path / "log.txt"))
+    ask = lambda i, m, **p: json.dumps({"jsonrpc": "2.0", "id": i, "method": m, "params": p})
+    lines = [ask(1, "initialize"), '{"jsonrpc": "2.0", "method": "notifications/initialized"}', ask(2, "tools/list"), ask(3, "tools/call", name="search_code", arguments={"query": "Socket read", "top_k": 3})]
+    lines += [ask(4, "tools/call", name="get_chunk", arguments={"chunk_id": "none"}), ask(5, "tools/call", name="search_code", arguments={"what": 1}), ask(6, "nothing"), "no json", ""]
+    out = io.StringIO()
+    serve.serve_lines(e, io.StringIO("\n".join(lines) + "\n"), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [r["id"] for r in got] == [1, 2, 3, 4, 5, 6, None]
+    assert {x["name"] for x in got[1]["result"]["tools"]} == set(serve.TOOLS)
+    rows = json.loads(got[2]["result"]["content"][0]["text"])
+    assert 0 < len(rows) <= 3 and {"symbol_name", "file_path", "start_line", "score", "content"} <= set(rows[0])
+    assert got[3]["result"] == {"content": [{"type": "text", "text": "null"}], "isError": False} and got[4]["result"]["isError"]
+    assert got[5]["error"]["code"] == -32601 and got[6]["error"]["code"] == -32700
+    assert "[INPUT] search_code" in (tmp_path / "log.txt").read_text()
+    server = serve.http_server(e, 0)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    c = http.client.HTTPConnection(*server.server_address)
+    c.request("POST", "/", ask(7, "tools/call", name="get_file_outline", arguments={"file_path": "b.cs"}))
+    assert json.loads(json.loads(c.getresponse().read())["result"]["content"][0]["text"])[0]["name"].startswith("Shop.Core")
+    server.server_close()
+
+
+def test_command_line(spark, tmp_path, tree, capsys, monkeypatch):
+    from lodeseek.__main__ import main, shortened
+
+    assert shortened("x" * 45) == "x" * 45 and shortened("x" * 46) == "x" * 42 + "..."
+    p = tmp_path / "s.json"
+    p.write_text(json.dumps({"indexer": {"chunk_min_lines": 3, "one": {"source_paths": [str(tree)], "extensions": [".cpp"]}}}))
+    common = ["--settings", str(p), "--store", str(tmp_path / "st")]
+    main([*common, "--index-only", "--status"])
+    said = capsys.readouterr().out
+    assert "total_vectors" in said and "..." in said or len(str(tree)) <= 45
+    monkeypatch.setattr("builtins.input", lambda _: "n")
+    with pytest.raises(SystemExit):
+        main([*common, "--remove"])
+    assert (tmp_path / "st").exists()
+    monkeypatch.setattr("builtins.input", lambda _: "y")
+    main([*common, "--remove"])
+    assert not (tmp_path / "st").exists()
+    with pytest.raises(SystemExit):
+        main(["--no-such-flag"])
+
+
+def test_recall_of_cells(spark, tmp_path):
+    from lodeseek.operators import ann
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("cast(vec_id as string) chunk_id", "embedding as vector")
+    store = Store(spark, f"{tmp_path}/cells")
+    ann.build(store, rows)
+    schema = "chunk_id string, vector array<float>"
+    assert store.read_buckets("cells", schema).count() == rows.count()  # every row is in a cell
+    asked = [r.vector for r in rows.where("cast(chunk_id as long) % 100 = 0").collect()][:20]
+    found = 0
+    for q in asked:
+        want = {r.chunk_id for r in retrieval.top(retrieval.dense(rows, q), 10).collect()}
+        found += len(want & {r.chunk_id for r in ann.search(store, q, 10, schema=schema).collect()})
+    assert found >= 0.9 * 10 * len(asked), found
+    ann.build(store, rows.limit(0))

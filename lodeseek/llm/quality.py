@@ -34,6 +34,8 @@ DECAY, MORE, STEPS, BINS = 3e-3, 1.5, 12, 512
 SMOOTH = 0.01
 #: Weight of the hashed words and trigrams against the shape.
 LEXICAL_SCALE = 0.2
+#: Standard deviations allowed for a share in that estimate.
+SIGMAS = 1.64
 #: Tasks that sum over the features at most: each sends WIDTH**2 numbers to the driver.
 TASKS = 32
 
@@ -219,9 +221,8 @@ def estimate_prior(sums: Sums, model: Classifier) -> float:
     if not n or not m:
         return 1.0
     a, b = positive / n, unlabelled / m
-    slack = math.sqrt(math.log(40) / 2 / n) + math.sqrt(math.log(40) / 2 / m)  # of an empirical share
-    k = np.argmin(np.where(a > 0, (b + slack) / np.maximum(a, 1e-9), np.inf))
-    return float(np.clip(b[k] / a[k], 0.01, 0.99))
+    above, below = b + SIGMAS * np.sqrt(b * (1 - b) / m), a - SIGMAS * np.sqrt(a * (1 - a) / n)  # as far as the shares may be off
+    return float(np.clip(np.min(np.where(below > 0, above / np.maximum(below, 1e-9), np.inf)), 0.01, 0.99))
 
 
 def fit(sums: Sums, model: Classifier, prior: float, steps: int = STEPS) -> np.ndarray:

@@ -123,13 +123,12 @@ def spread_of(keys: np.ndarray, many: int = 1024) -> np.ndarray:
     What is sent on at other times may differ on a key, so the first line of a spread one goes to its own bucket, where all meet it.
     """
     out = np.zeros(len(keys), np.int64)
-    if len(keys):
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        count = np.diff(np.append(first, len(keys)))
-        out[order] = np.repeat(np.where(count >= many, 16, 0), count)
-        lead = order[first]
-        out[lead] = np.minimum(out[lead], 1)
+    ordered = np.sort(keys)
+    hot = np.unique(ordered[many - 1 :][ordered[many - 1 :] == ordered[: max(0, len(keys) - many + 1)]])
+    if len(hot):
+        at = np.flatnonzero(np.isin(keys, hot))
+        out[at] = 16
+        out[at[np.unique(keys[at], return_index=True)[1]]] = 1
     return out
 
 
@@ -283,13 +282,17 @@ def _linked(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     wanted = spark.sparkContext.broadcast(node_filter(shared))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # of this task; a further copy goes again, to no effect
         for batch in batches:
             found = list({x for text in batch.column(0) for x in lines_of(text.as_py()) if len(x) >= CHARS})
             nodes = np.array([node_of(x) for x in found], np.int64)
             pick = np.flatnonzero(wanted.value[slot_of(nodes, len(wanted.value))] > 0)
+            pick = pick[[x not in sent for x in nodes[pick].tolist()]] if len(pick) else pick
+            sent = set() if len(sent) > REMEMBERED else sent
+            sent.update(nodes[pick].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(nodes[pick]), pa.array([found[k] for k in pick.tolist()], pa.binary())], ["node", "line"])
 
-    texts = docs.select("text").mapInArrow(fetch, "node long, line binary").join(shared, "node", "left_semi")
+    texts = docs.select("text").mapInArrow(fetch, "node long, line binary").join(shared.hint("shuffle_hash"), "node", "left_semi")
     texts = cut(texts.dropDuplicates(["node"]), "texts")
     facts = lambda nodes: sketched(texts.join(nodes, "node", "left_semi"))
     return link(postings, facts, lambda pairs: compare_lines(pairs, texts, percent), percent)[1]
@@ -310,7 +313,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = numbered(docs.select(*keep))
     work = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("__file").alias("file"), F.col("__row").alias("row"))
     gone = _duplicates(work, percent).groupBy(F.col("file").alias("__file"), F.col("row").alias("__row")).agg(F.collect_set("line").alias("__gone"))
-    out = rows.join(gone, ["__file", "__row"], "left")
+    out = rows.join(gone.hint("shuffle_hash"), ["__file", "__row"], "left")  # so that the texts need no sorting
     hit = F.col("__gone").isNotNull()
     out = out.withColumn("__lines", F.when(hit, F.split("text", "\n", -1)))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))

@@ -34,21 +34,31 @@ U = np.uint64
 
 
 def pack(keys: np.ndarray, nodes: np.ndarray, spread: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Postings as rows of PACKED, by bucket of their key; of a key the low 32 bits travel.
+    """Postings as rows of PACKED, by bucket of their key; of a key the low 32 bits travel. A node's keys stand together.
 
     A key with spread > 0 is dealt over so many buckets by its nodes; `base` is its own bucket, -1 for the others.
     """
+    base = ((keys >> U(32)) % U(buckets)).astype(np.int32)
+    hot = np.flatnonzero(spread > 0)
+    if len(hot):
+        salt = (mix(nodes[hot].view(np.uint64)) % np.minimum(spread[hot], SPREAD).astype(np.uint64)).astype(np.int64)
+        yield from _packed(keys[hot], nodes[hot], ((base[hot] + salt) % buckets).astype(np.int32), base[hot])
+        rest = spread == 0
+        keys, nodes, base = keys[rest], nodes[rest], base[rest]
+    yield from _packed(keys, nodes, base, None)
+
+
+def _packed(keys: np.ndarray, nodes: np.ndarray, part: np.ndarray, base: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     if not len(keys):
         return
-    base = ((keys >> U(32)) % U(buckets)).astype(np.int32)
-    part, salted = base.copy(), spread > 0
-    salt = (mix(nodes[salted].view(np.uint64)) % np.minimum(spread[salted], SPREAD).astype(np.uint64)).astype(np.int64)
-    part[salted] = (base[salted] + salt) % buckets
-    base[~salted] = -1
-    order = np.lexsort((nodes, base, part))
-    keys, nodes, base, part = (keys[order] & U(0xFFFFFFFF)).astype(np.uint32), nodes[order], base[order], part[order]
+    small = part.max(initial=0) < 1 << 16
+    order = np.argsort(part.astype(np.uint16) if small else part, kind="stable") if base is None else np.lexsort((nodes, base, part))
+    keys, nodes, part = (keys[order] & U(0xFFFFFFFF)).astype(np.uint32), nodes[order], part[order]
     row = np.ones(len(part), bool)
-    row[1:] = (part[1:] != part[:-1]) | (base[1:] != base[:-1])
+    row[1:] = part[1:] != part[:-1]
+    if base is not None:
+        base = base[order]
+        row[1:] |= base[1:] != base[:-1]
     run = row.copy()
     run[1:] |= nodes[1:] != nodes[:-1]
     at, run = np.flatnonzero(row), np.flatnonzero(run)
@@ -60,7 +70,8 @@ def pack(keys: np.ndarray, nodes: np.ndarray, spread: np.ndarray, buckets: int)
         k.append(keys[ends[i] : ends[i + 1]].tobytes())
         n.append(nodes[run[low[i] : low[i + 1]]].tobytes())
         r.append(length[low[i] : low[i + 1]].tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(base[at]), *(pa.array(x, pa.binary()) for x in (k, n, r))], ["part", "base", "keys", "nodes", "runs"])
+    own = np.full(len(at), -1, np.int32) if base is None else base[at]
+    yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(own), *(pa.array(x, pa.binary()) for x in (k, n, r))], ["part", "base", "keys", "nodes", "runs"])
 
 
 def shared_postings(packed: DataFrame) -> DataFrame:
@@ -122,29 +133,28 @@ def merge_tables(rows: DataFrame) -> np.ndarray:
     rows: (block, part, counts bytes). 32 tables at a time are summed, then 32 sums, and so on.
     """
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(ENTRIES, np.int64)
-        for c in table["counts"].to_pylist():
-            total += np.frombuffer(c, np.uint8 if len(c) == ENTRIES else np.uint32)
-        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def adding(last: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+        def add(key: tuple, table: pa.Table) -> pa.Table:
+            total = np.zeros(ENTRIES, np.int64)
+            for c in table["counts"].to_pylist():
+                total += np.frombuffer(c, np.uint8 if len(c) == ENTRIES else np.uint32)
+            made = np.ceil(np.log2(total + 1.0)).astype(np.uint8) if last else np.minimum(total, 2**32 - 1).astype(np.uint32)
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([made.tobytes()], pa.binary())})
+
+        return add
 
     most = rows.agg(F.max("part")).first()[0]
     if most is None:
         return np.zeros(LEAST, np.uint8)
     while True:
-        rows = rows.withColumn("part", (F.col("part") / 32).cast("int")).groupBy("block", "part").applyInArrow(add, "block int, part int, counts binary")
-        most //= 32
-        if not most:
+        last = most < 32
+        rows = rows.withColumn("part", (F.col("part") / 32).cast("int")).groupBy("block", "part")
+        rows = rows.applyInArrow(adding(last), "block int, part int, counts binary")
+        if last:
             break
-
-    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [np.ceil(np.log2(np.frombuffer(c, np.uint32) + 1.0)).astype(np.uint8).tobytes() for c in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["block", "levels"])
-
-    got = rows.select("block", "counts").mapInArrow(levels, "block int, levels binary").collect()  # MOST bytes at most
-    return np.frombuffer(b"".join(r.levels for r in sorted(got)), np.uint8)
+        most //= 32
+    got = rows.select("block", "counts").collect()  # MOST bytes at most
+    return np.frombuffer(b"".join(r.counts for r in sorted(got)), np.uint8)
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
@@ -180,13 +190,15 @@ def parity(h: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array((low // 64).astype(np.int32)), pa.array(longs))
 
 
-def set_rows(nodes: np.ndarray, sizes: np.ndarray, h: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch | None:
-    """Rows of SETS for the sets whose node may be wanted, each node once. h: elements, sorted, by owner."""
+def set_rows(nodes: np.ndarray, sizes: np.ndarray, h: np.ndarray, wanted: np.ndarray, sent: set[int]) -> pa.RecordBatch | None:
+    """Rows of SETS for the sets whose node may be wanted, each node once, and not if it is in `sent`. h: elements, sorted, by owner."""
     own = np.flatnonzero(wanted[slot_of(nodes, len(wanted))] > 0)
     if len(own):
         own = own[np.unique(nodes[own], return_index=True)[1]]
+        own = own[[x not in sent for x in nodes[own].tolist()]]
     if not len(own):
         return None
+    sent.update(nodes[own].tolist())
     low = np.concatenate([[0], np.cumsum(sizes)])
     pick = np.concatenate([h[low[i] : low[i + 1]] for i in own.tolist()])
     at = (np.concatenate([[0], np.cumsum(sizes[own])]) * 8).astype(np.int32)

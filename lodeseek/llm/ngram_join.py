@@ -33,6 +33,8 @@ BAND = 2
 SCALES = 40
 #: Keys that stand at this level of counts (1 + log2) are spread over buckets.
 HOT = 11
+#: Sets that a task remembers having sent on.
+REMEMBERED = 200_000
 #: Bytes of text worked on at once, and keys sent on at once.
 BLOCK, FLUSH = 1 << 20, 1 << 18
 
@@ -212,15 +214,18 @@ def _join(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFram
     wanted = spark.sparkContext.broadcast(node_filter(shared))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # of this task; a further copy goes again, to no effect
         for batch in batches:
             data, at = texts(batch.column(0))
             for i, j in blocks(at, BLOCK):
                 h, n, node = sets_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                found = set_rows(node, n, h, wanted.value)
+                found = set_rows(node, n, h, wanted.value, sent)
+                sent = set() if len(sent) > REMEMBERED else sent
                 if found is not None:
                     yield found
 
-    sets = cut(docs.select("text").mapInArrow(fetch, SETS).join(shared, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = docs.select("text").mapInArrow(fetch, SETS).join(shared.hint("shuffle_hash"), "node", "left_semi")
+    sets = cut(sets.dropDuplicates(["node"]), "sets")
     links, roots = link(postings, lambda nodes: sketches.join(nodes, "node", "left_semi"), lambda pairs: compare_sketched(pairs, sketches, sets, percent), percent)
     return members, links, roots
 
@@ -241,14 +246,13 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component: of the least doc_id, and of several rows with that id the one of the least text.
+    """docs with one row of each component: of the least doc_id, and of several rows with that id one of the least text.
 
-    Rows without doc_id stay. Columns of docs stay; an empty table gives no rows.
+    Rows without doc_id stay. Columns of docs stay; an empty table gives no rows. Rows of one id are reduced to one in
+    each task before they are shuffled.
     """
-    from pyspark.sql import Window
-
     kept = components(docs, percent).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = one.select(*docs.columns, first.alias("__nth")).where("__nth = 1").drop("__nth")
+    whole = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct("text")).alias("__row")
+    one = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(whole)
+    one = one.join(kept, F.col("__id").cast("long") == F.col("doc_id"), "left_semi").select("__row.*")
     return one.unionByName(docs.where("doc_id is null"))

@@ -159,6 +159,7 @@ def test_recall_at_the_threshold():
 def test_spread_keys_meet():
     keys = np.array([5] * 3 + [6] + [7] * 2, np.uint64)
     assert line_dedup.spread_of(keys, 3).tolist() == [1, 16, 16, 0, 0, 0]
+    assert line_dedup.spread_of(keys, 7).tolist() == [0] * 6 and not len(line_dedup.spread_of(keys[:0]))
 
 
 def test_table(spark, sf_dir):

@@ -32,12 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lodeseek-"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that later work does not depend on lost executors.
 
-    The files go when the session ends, or earlier through `forget`.
+    A narrow table (some numbers a row, where the corpus has texts) is written as three files a core at most. The files
+    go when the session ends, or earlier through `forget`.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(3 * max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/lodeseek-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
@@ -70,8 +73,16 @@ def _placed(df: DataFrame) -> bool:
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> Iterator[None]:
-    """Within it, jobs hand texts to Python in smaller batches, so that a worker and Spark's buffers hold less at once."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    """Within it, jobs hand texts to Python in smaller batches, so that a worker and Spark's buffers hold less at once.
+
+    Small shuffled partitions are put together up to the advisory size, so that small tables are few files. These are
+    settings of the session, put back at the end.
+    """
+    wanted = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(size),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

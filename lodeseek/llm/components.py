@@ -45,25 +45,25 @@ def connected_components(edges: DataFrame, native: bool = False) -> DataFrame:
     gives an empty result.
     """
     pairs = edges.select("a", "b") if native else edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    e = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    e = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", narrow=True)
     maps: list[DataFrame] = []
     while n := e.count():
         if n <= LAST and not native:
-            maps.append(cut(e.coalesce(1).mapInArrow(finish, "node long, up long"), "jump"))
+            maps.append(cut(e.coalesce(1).mapInArrow(finish, "node long, up long"), "jump", narrow=True))
             break
         rank = lambda c: F.xxhash64(F.lit(len(maps)), c)  # noqa: E731, B023
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy("a").agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b"))).alias("m"))
         step = step.select(F.col("a").alias("node"), F.when(F.col("m.r") < rank(F.col("a")), F.col("m.b")).otherwise(F.col("a")).alias("up"))
-        step = cut(step, "step")
+        step = cut(step, "step", narrow=True)
         above = step.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        jump = cut(step.join(above, "up").select("node", F.col("top").alias("up")), "jump")
+        jump = cut(step.join(above, "up").select("node", F.col("top").alias("up")), "jump", narrow=True)
         forget(step)
         maps.append(jump)
         left = jump.select(F.col("node").alias("a"), F.col("up").alias("ua"))
         right = jump.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         after = e.join(left, "a").join(right, "b").where("ua <> ub")
-        after = cut(after.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+        after = cut(after.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges", narrow=True)
         forget(e)
         e = after
     if not maps:

@@ -48,7 +48,11 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def merge(sketches: DataFrame, keys: list[str], sketch: str = "sketch") -> DataFrame:
-    """Sketch of the union of each group's documents."""
+    """(keys, sketch): the sketch of the union of each group's documents.
+
+    Repeated rows change nothing; groups of empty or null sketches only are left out; an empty table gives none. Hashes
+    are made distinct in each task before they are shuffled.
+    """
     return sketches.select(*keys, F.explode(sketch).alias("h")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("h")).alias(sketch))
 
 
@@ -105,7 +109,9 @@ def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next document, and their likenesses.
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next document. near_* is
-    resemblance, contained_* containment; texts with equal digests have 1.
+    resemblance, contained_* containment; texts with equal digests have 1, of others those with two empty sketches 0.
+    Null texts are empty; rows that tie in their id follow each other by text; a table of one row is its own next;
+    an empty table gives no rows.
     """
     pairs = with_next(docs)
     half = F.floor(F.length("text") / 2).cast("int")

@@ -207,8 +207,7 @@ def _duplicates(docs: DataFrame, percent: int) -> DataFrame:
     def list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, number, names, hashes = [], [], [], []
-            for i, text in enumerate(batch.column(3)):
-                text = text.as_py()
+            for i, text in enumerate(batch.column(3).to_pylist()):
                 found = [(k, name_of(x)) for k, x in enumerate(lines_of(text)) if x]
                 if found:
                     k, name = zip(*found, strict=True)
@@ -225,13 +224,13 @@ def _duplicates(docs: DataFrame, percent: int) -> DataFrame:
     with small_batches(spark):
         lines = cut(docs.select("doc_id", "file", "row", "text").mapInArrow(list_lines, "doc_id long, file long, row long, hash long, line int, node long, more long"), "lines")
         roots = _linked(docs, lines, percent)
-    first = F.min(F.struct(*place)).alias("first")
-    distinct = cut(lines.groupBy("node", "more").agg(first, F.count("*").alias("n")), "distinct")
-    joined = distinct.join(roots, "node")  # few lines have links
+        first = F.min(F.struct(*place)).alias("first")
+        distinct = cut(lines.groupBy("node", "more").agg(first, F.count("*").alias("n")), "distinct", narrow=True)
+    joined = distinct.join(roots.hint("shuffle_hash"), "node")  # few lines have links
     least = joined.groupBy("root").agg(F.min("first").alias("kept"))
-    joined = joined.join(least, "root").select("node", "more", "kept")
+    joined = joined.join(least.hint("shuffle_hash"), "root").select("node", "more", "kept")
     alone = distinct.where("n > 1").join(roots.select("node"), "node", "left_anti").select("node", "more", F.col("first").alias("kept"))
-    gone = lines.join(joined.unionByName(alone), ["node", "more"])
+    gone = lines.join(joined.unionByName(alone).hint("shuffle_hash"), ["node", "more"])
     return gone.where(F.struct(*place) != F.col("kept"))
 
 
@@ -277,8 +276,8 @@ def _linked(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
         if got:
             yield from packed()
 
-    postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared")
-    shared = cut(postings.select("node").distinct(), "nodes")
+    postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared", narrow=True)
+    shared = cut(postings.select("node").distinct(), "nodes", narrow=True)
     wanted = spark.sparkContext.broadcast(node_filter(shared))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,6 +317,6 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = out.withColumn("__lines", F.when(hit, F.split("text", "\n", -1)))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(hit, F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")).otherwise(F.col("text"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1).cast("long")
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     out = out.withColumn("n_lines", n).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn("text", text)
     return out.select(*keep, "n_lines", "n_removed")

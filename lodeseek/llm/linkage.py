@@ -252,7 +252,7 @@ def compare_sketched(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, per
     """As `compare_sets`; pairs whose sketches (node, size, sketch) rule a link out get bounds only."""
     one, two = (sketches.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", F.greatest(F.abs(F.col("sa") - F.col("sb")), hamming(F.col("ka"), F.col("kb"))).alias("low"))
-    near = cut(near.withColumn("far", F.col("low") > bound(F.col("sa"), F.col("sb"), percent)), "near")
+    near = cut(near.withColumn("far", F.col("low") > bound(F.col("sa"), F.col("sb"), percent)), "near", narrow=True)
     exact = compare_sets(near.where("not far").select("a", "b"), sets, percent)
     far = near.where("far").select("a", "b", F.col("low").cast("int").alias("least"), (F.col("sa") + F.col("sb")).alias("most"), F.lit(False).alias("linked"))
     return exact.unionByName(far)
@@ -283,38 +283,39 @@ def link(postings: DataFrame, facts: Callable[[DataFrame], DataFrame], compare:
     or their sketches rule a link out.
     """
     keep = postings.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("k")).where("k > 1")
-    p = cut(postings.join(keep.select("key", "centre"), "key"), "postings")
+    hashed = lambda df: df.hint("shuffle_hash")  # noqa: E731  a row a key or node: small, and the other side needs no sorting
+    p = cut(postings.join(hashed(keep.select("key", "centre")), "key"), "postings", narrow=True)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = p.where("node <> centre").select(*pair(F.col("node"), F.col("centre"))).distinct()
-    tested = cut(compare(star), "tested")
+    tested = cut(compare(star), "tested", narrow=True)
     good = tested.where("linked")
     degree = good.select(F.col("a").alias("node")).unionByName(good.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("deg"))
-    roots = cut(connected_components(good.select("a", "b")), "roots")
+    roots = cut(connected_components(good.select("a", "b")), "roots", narrow=True)
 
     def still_open(p: DataFrame, roots: DataFrame) -> DataFrame:
-        labelled = p.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        labelled = p.join(hashed(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi and k > 2").select("key")
-        return labelled.join(split, "key")
+        return labelled.join(hashed(split), "key")
 
-    left = cut(still_open(p, roots), "open")  # a key of two nodes is done with
+    left = cut(still_open(p, roots), "open", narrow=True)  # a key of two nodes is done with
     if left.isEmpty():
         return good.select("a", "b"), roots
-    ranked = left.join(degree, "node", "left")
+    ranked = left.join(hashed(degree), "node", "left")
     best = ranked.groupBy("key").agg(F.max(F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), F.col("node"))).alias("m")).select("key", F.col("m.node").alias("best"))
-    second = left.drop("centre", "root").join(best, "key").select("key", "node", "best")
+    second = left.drop("centre", "root").join(hashed(best), "key").select("key", "node", "best")
     star = second.where("node <> best").select(*pair(F.col("node"), F.col("best"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    known = tested.unionByName(cut(compare(star), "tested"))
+    known = tested.unionByName(cut(compare(star), "tested", narrow=True))
     good = known.where("linked").select("a", "b")
-    roots = cut(connected_components(good), "roots")
+    roots = cut(connected_components(good), "roots", narrow=True)
     left = still_open(second, roots)
     a, b = pair(F.col("node"), F.col("best"))
     left = left.withColumn("a", a).withColumn("b", b).join(known.select("a", "b", "least", "most"), ["a", "b"], "left")
     left = left.where("node <> best").select("key", "node", "root", F.coalesce("least", F.lit(0)).alias("least"), F.coalesce("most", F.lit(2**30)).alias("most"))
-    left = cut(left, "open")
+    left = cut(left, "open", narrow=True)
     few = left.groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") <= FEW).select("node")
     own = left.join(few, "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
     left = _in_columns(left.join(facts(left.select("node").distinct()), "node").join(own, "node", "left"))
-    left = cut(left, "open")
+    left = cut(left, "open", narrow=True)
     x, y = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns]), left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
     most = bound(F.col("x_size"), F.col("y_size"), percent)
     fits = (
@@ -331,9 +332,9 @@ def link(postings: DataFrame, facts: Callable[[DataFrame], DataFrame], compare:
     both = F.array_min(F.array_intersect("x_keys", "y_keys"))  # a pair comes from the least of its keys only
     fits &= both.isNull() | (both == F.col("x_key"))
     cross = x.join(y, fits).select(*pair(F.col("x_node"), F.col("y_node"))).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    last = cut(compare(cross).where("linked").select("a", "b"), "tested")
-    links = cut(good.unionByName(last), "links")
-    out = cut(connected_components(links), "roots")
+    last = cut(compare(cross).where("linked").select("a", "b"), "tested", narrow=True)
+    links = cut(good.unionByName(last), "links", narrow=True)
+    out = cut(connected_components(links), "roots", narrow=True)
     forget(p, left, roots, last)
     return links, out
 

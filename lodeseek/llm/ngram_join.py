@@ -207,8 +207,8 @@ def _join(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFram
         if got:
             yield from pack(*(np.concatenate(x) for x in zip(*got, strict=True)), buckets)
 
-    postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared")
-    shared = cut(postings.select("node").distinct(), "nodes")
+    postings = cut(shared_postings(docs.select("text").mapInArrow(emit, PACKED)), "shared", narrow=True)
+    shared = cut(postings.select("node").distinct(), "nodes", narrow=True)
     known = rows.select("node", F.col("n").alias("size"), "sketch").join(shared, "node", "left_semi")
     sketches = cut(known.dropDuplicates(["node"]), "sketches")
     wanted = spark.sparkContext.broadcast(node_filter(shared))

@@ -171,7 +171,10 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
 
 
 def decode(encoded: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and text for each row with `token_ids`. Null ids: null. Bytes that are no UTF-8 become U+FFFD."""
+    """`keep` and text for each row with `token_ids`. Null ids: null; no ids: empty. Bytes that are no UTF-8 become U+FFFD.
+
+    Control and unknown ids give nothing. Repeated rows give repeated results; an empty table gives none.
+    """
     pieces = encoded.sparkSession.sparkContext.broadcast(Pieces.read(model))
     schema = encoded.select(*keep).schema.add("text", "string")
 

@@ -120,3 +120,16 @@ def test_table(spark, sf_dir):
     check_base(rows, got)
     held = [r.bits_per_byte for r in got if r.held_out]
     assert sum(held) / len(held) < 3.5
+
+
+def test_whole_texts_of_the_table(spark, sf_dir):
+    """The scores of whole documents against the recursive tree, some seen in training and some not."""
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars between 300 and 5000").orderBy("doc_id").limit(24).select("doc_id", "text")
+    rows = [tuple(r) for r in some.collect()]
+    got = ctw.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.held_out for r in got} == {True, False}
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    picked = [r for r in got if r.held_out][:3] + [r for r in got if not r.held_out][:3]
+    for r in picked:
+        want = tree_score(train, dict(rows)[r.doc_id], ctw.DEPTH)
+        assert abs(r.score - want) < 1e-6 * abs(want)

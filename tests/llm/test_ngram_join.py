@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from lodeseek.llm import ngram_join
 from lodeseek.llm.queries import QUERIES
 
@@ -81,6 +83,46 @@ def test_planted(spark):
     assert ngram_join.components(df.limit(0)).count() == 0
 
 
+def test_a_hot_passage_makes_few_pairs(spark, monkeypatch):
+    """Of documents that share a passage, hardly any are compared: pairs do not grow with the square of the group."""
+    rng = random.Random(12)
+    compared, compare = [], ngram_join.compare_sketched
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "compare_sketched", counting)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 90))] + passage)) for i in range(400)]
+    rows += [(400 + i, rows[i][1] + " tail") for i in range(100)]
+    check(spark, rows)
+    assert 100 <= sum(compared) <= 3 * len(rows), compared
+
+
+def test_cells_and_bands():
+    """Every set fills more cells at its band's scale than may differ, and linked sets share a key, across bands too."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 4, 5, 15, 16, 17, 63, 64, 65, 200, 1030, 5000):
+        for _ in range(20):
+            a = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+            keep = rng.permutation(n)[: -(-n * 3 // 4)]
+            b = np.sort(np.concatenate([a[keep], rng.integers(0, 2**64, max(0, len(keep) * 4 // 3 - n), dtype=np.uint64)]))
+            common, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            sets = [a, b]
+            h, size = np.concatenate(sets), np.array([len(a), len(b)])
+            scales = np.zeros(40, np.int64)
+            for band in (ngram_join.band_of(size), ngram_join.band_of(np.maximum(-(-size * 75 // 100), 1))):
+                need = ngram_join.needed_scale(h, size, band, 75)
+                np.maximum.at(scales, band, need)
+                own = np.repeat([0, 1], size)
+                cells = ngram_join.filled(h, own, ngram_join.cells_of(h, band[own], need[own]), 2)
+                assert (cells > ngram_join.most_apart(size, 75)).all()
+            keys, node, _ = ngram_join.keys_of(h, size, np.array([1, 2]), np.ones(1 << 16, np.uint8), scales, 75)
+            if 100 * common >= 75 * union:
+                assert set(keys[node == 1].tolist()) & set(keys[node == 2].tolist()), n
+
+
 def test_hot_keys_are_spread(spark):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(100)]

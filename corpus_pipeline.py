@@ -31,7 +31,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id (a null one first). Null, empty and blank texts stay as they are. An empty table gives no rows.
     """
     out = line_dedup.dedup(docs.select(*COLUMNS))
-    out = out.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t\v\f", "     ")) != ""))
+    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \n\r\t\x0b\x0c]"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(*COLUMNS)
 

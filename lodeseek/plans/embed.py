@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -13,6 +16,10 @@ from pyspark.sql import functions as F
 from ..operators.mutations import cache_misses
 
 
+#: Words whose part is remembered by a worker.
+KNOWN = 50_000
+
+
 class Embedder(Protocol):
     size: int
 
@@ -24,18 +31,25 @@ class HashedNgrams:
 
     def __init__(self, size: int = 64):
         self.size = size
+        self.known: dict[str, np.ndarray] = {}  # words seen before
+
+    def word(self, word: str) -> np.ndarray:
+        """What one occurrence of a word adds."""
+        out, padded = np.zeros(self.size, np.float32), f" {word} "
+        for gram in (word, *(padded[i : i + 3] for i in range(len(padded) - 2))):
+            h = zlib.crc32(gram.encode())
+            out[h % self.size] += 1 if h >> 31 else -1
+        return out
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        import re
-        import zlib
-
         out = np.zeros((len(texts), self.size), np.float32)
         for row, text in zip(out, texts, strict=True):
-            for word in re.findall(r"[^\W_]+", text.lower()):
-                padded = f" {word} "
-                for gram in (word, *(padded[i : i + 3] for i in range(len(padded) - 2))):
-                    h = zlib.crc32(gram.encode())
-                    row[h % self.size] += 1 if h >> 31 else -1
+            for word, n in Counter(re.findall(r"[^\W_]+", text.lower())).items():
+                if word not in self.known:
+                    if len(self.known) >= KNOWN:
+                        self.known.clear()
+                    self.known[word] = self.word(word)
+                row += n * self.known[word]
             size = float(np.linalg.norm(row))
             if size:
                 row /= size

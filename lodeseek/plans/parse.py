@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from ..schemas import SYMBOLS
 
 #: Suffixes read as C++, and words before "(" that name no function.
-CPP = {".h", ".hpp", ".hxx", ".cpp", ".cxx", ".c", ".cc"}
+CPP = {".h", ".hpp", ".hxx", ".cpp", ".cxx", ".c"}
 NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "sizeof", "new", "delete", "throw", "using", "lock", "foreach", "decltype", "alignas", "static_assert", "defined", "noexcept", "else", "do", "case"}
 
 HIDDEN = re.compile(

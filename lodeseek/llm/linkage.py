@@ -329,8 +329,8 @@ def link(postings: DataFrame, facts: Callable[[DataFrame], DataFrame], compare:
     quick = sum(F.bit_count(F.col(f"x_s{i}").bitwiseXOR(F.col(f"y_s{i}"))) for i in range(words))
     other = hamming(F.coalesce("x_sketch", _as_array("x", words)), F.coalesce("y_sketch", _as_array("y", words)))
     fits &= F.when(F.col("x_s0").isNotNull() & F.col("y_s0").isNotNull(), quick).otherwise(other) <= most
-    both = F.array_min(F.array_intersect("x_keys", "y_keys"))  # a pair comes from the least of its keys only
-    fits &= both.isNull() | (both == F.col("x_key"))
+    # a pair comes from the least of its keys only; written once, so that it is evaluated last and not beforehand
+    fits &= F.coalesce(F.array_min(F.array_intersect("x_keys", "y_keys")), F.col("x_key")) == F.col("x_key")
     cross = x.join(y, fits).select(*pair(F.col("x_node"), F.col("y_node"))).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
     last = cut(compare(cross).where("linked").select("a", "b"), "tested", narrow=True)
     links = cut(good.unionByName(last), "links", narrow=True)

@@ -169,7 +169,7 @@ def probabilities(grams: DataFrame, depth: int) -> DataFrame:
 
     context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * split)) - 1).cast("long"))
     dealt = grams.select("key", "n", F.pmod(F.xxhash64(context), F.lit(buckets)).alias("bucket"))
-    made = cut(dealt.groupBy("bucket").applyInArrow(deep, "key long, n long, p binary, node long, zeros double, ones double, under double"), "strings", tidy=True)
+    made = cut(dealt.groupBy("bucket").applyInArrow(deep, "key long, n long, p binary, node long, zeros double, ones double, under double"), "strings")
     sums = made.where("node is not null").groupBy("node").agg(*[F.sum(c).alias(c) for c in names[4:]]).toArrow()  # 65,536 rows at most
     above = spark.sparkContext.broadcast(tops(*(sums[c].to_numpy() for c in names[3:]), split))
 

@@ -98,17 +98,29 @@ def overlap_pairs(chunks: DataFrame, least: float = OVERLAP) -> DataFrame:
     return side("a").join(side("b"), "file_path").where("a_chunk_id < b_chunk_id").withColumn("ratio", F.round(ratio, 6)).where(F.col("ratio") >= least)
 
 
+_RANGE = "array<struct<i:int,rank:int,a:int,b:int,child:boolean,holder:boolean>>"
+
+
 def dedupe_overlaps(chunks: DataFrame) -> DataFrame:
     """Drops a chunk that one of higher priority, kept itself, overlaps by OVERLAP.
 
-    A class, struct or interface does not go by a chunk that has a parent. Chunks of one priority do not touch one
-    another, so one anti-join for each priority gives what a greedy scan in that order does.
+    A class, struct or interface does not go by a chunk that has a parent; chunks of one priority do not touch one
+    another. A file's chunks meet in one row, once, and are gone through by priority there.
     """
-    ranked = chunks.withColumn("rank", priority(F.col("symbol_type")))
-    kept = ranked.where("rank = 0")
-    for rank in sorted(set(PRIORITY.values()) - {0}):
-        k = kept.select(F.col("file_path").alias("k_path"), F.col("start_line").alias("k0"), F.col("end_line").alias("k1"), F.col("parent_class").alias("k_parent"))
-        hit = overlap_ratio(F.col("k0"), F.col("k1"), F.col("start_line"), F.col("end_line")) >= OVERLAP
-        may = ~F.col("symbol_type").isin("class", "struct", "interface") | (F.col("k_parent") == "")
-        kept = kept.unionByName(ranked.where(F.col("rank") == rank).join(k, (F.col("file_path") == F.col("k_path")) & hit & may, "left_anti"))
-    return kept.drop("rank")
+    columns = chunks.columns
+    rows = chunks.groupBy(F.col("file_path").alias("__path")).agg(F.collect_list(F.struct(priority(F.col("symbol_type")).alias("__rank"), *columns)).alias("items"))
+    ranges = F.transform(
+        "items",
+        lambda x, i: F.struct(
+            i.alias("i"), x["__rank"].alias("rank"), x["start_line"].alias("a"), x["end_line"].alias("b"),
+            (F.coalesce(x["parent_class"], F.lit("")) != "").alias("child"), x["symbol_type"].isin("class", "struct", "interface").alias("holder"),
+        ),
+    )
+    rows = rows.select("items", F.array_sort(ranges.cast(_RANGE), lambda x, y: x["rank"] - y["rank"]).alias("ranges"))
+
+    def step(kept: Column, c: Column) -> Column:
+        beaten = F.exists(kept, lambda k: (k["rank"] < c["rank"]) & ~(k["child"] & c["holder"]) & (overlap_ratio(k["a"], k["b"], c["a"], c["b"]) >= OVERLAP))
+        return F.when(beaten, kept).otherwise(F.concat(kept, F.array(c)))
+
+    rows = rows.select("items", F.aggregate("ranges", F.array().cast(_RANGE), step).alias("kept"))
+    return rows.select(F.explode(F.transform("kept", lambda k: F.get("items", k["i"]))).alias("c")).select(*[F.col("c")[c].alias(c) for c in columns])

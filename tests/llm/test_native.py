@@ -78,6 +78,21 @@ def test_url_aliases(spark):
     assert one == two and one[0].rule == "example.com/en/7"
 
 
+def test_rules_are_the_contracts(spark, tmp_path):
+    """The words, allow or block, are written out here, not taken from the query's list."""
+    want = {
+        "http://a.com/en/x": ("com/en/", "block"),
+        "http://www.example.com/en/71": ("example.com/en/7", "allow"),
+        "http://a.net/de/x": ("net/de/", "allow"),
+        "http://example.net/de/81": ("example.net/de/8", "block"),
+        "http://a.org/es/": ("org/es/", "block"),
+        "http://a.org/de/": (None, "allow"),
+    }
+    spark.createDataFrame([(k, u, "") for k, u in enumerate(want)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in QUERIES["op1_url_filter"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_url_resolution(spark):
     """Against the standard library, for bases and targets of many shapes."""
     from urllib.parse import urljoin

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
+#: Letters whose upper case upper() writes as several, by the one that stands for them: their own title case, else themselves.
+WHOLE = {c: c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x110000)) if len(c.upper()) > 1} | {"ß": "ẞ"}
 #: Fixed value: suffixes that are not their own language name.
 LANGUAGES = {".h": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".cxx": "cpp", ".c": "cpp"}
 
@@ -17,6 +19,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def upper(text: Column) -> Column:
+    """Upper case, letter by letter, so that a text keeps its length: ß is ẞ, not SS."""
+    kept = "[" + "".join(WHOLE) + "]"
+    pieces = F.regexp_extract_all(text, F.lit(f"{kept}|[^{kept[1:]}+"), F.lit(0))
+    single = F.create_map(*[F.lit(x) for pair in WHOLE.items() for x in pair])
+    return F.when(text.rlike(kept), F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(single, p), F.upper(p))), "")).otherwise(F.upper(text))
+
+
 def suffix(path: Column) -> Column:
     """Lower-cased suffix with its dot, else empty."""
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))

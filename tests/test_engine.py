@@ -284,6 +284,19 @@ def test_line_ends(spark):
         assert spark.range(1).select(text.split_lines(F.lit(s))).first()[0] == s.splitlines(), repr(s)
 
 
+def test_upper_case_keeps_each_letter(spark, tmp_path):
+    import duckdb
+
+    from lodeseek.queries import ORACLE_SQL, QUERIES
+
+    texts = ["", "straße", "ß", "ßß\nxß", "ŉa ﬁn ΐ ᾳ", "a\x00b", "été", None, "œuvre ÿ ẞ"]
+    spark.createDataFrame([(k, t, "fr", "s") for k, t in enumerate(texts)] + [(99, "daß", "de", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = {(r.chunk_id, r.content) for r in QUERIES["upsert_chunks"](spark, str(tmp_path)).collect()}
+    assert got == set(c.execute(ORACLE_SQL["upsert_chunks"]).fetchall()) and ("1", "STRAẞE") in got
+
+
 def test_overlaps_of_all_kinds(spark):
     rows = [("f", k, 1, 10, t, p) for k, t, p in (("1", "function", ""), ("2", "namespace", ""), ("3", "code", ""))]
     rows += [("g", "4", 1, 10, "method", "K"), ("g", "5", 1, 10, "class", ""), ("g", "6", 1, 10, "namespace", "")]

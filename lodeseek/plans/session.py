@@ -143,7 +143,8 @@ class CodeSearch:
         return ann.search(self.store, self.embedder([query])[0].tolist(), k, probes)
 
     def query_batch(self, queries: DataFrame) -> DataFrame:
-        return retrieval.query_batch(self.postings(), self.lengths(), queries, self.settings.search.top_k)
+        bags, figures = retrieval.bags_of_postings(self.postings(), self.lengths(), queries)
+        return retrieval.query_batch(bags, figures, queries, self.settings.search.top_k)
 
     def get_chunk(self, chunk_id: str) -> DataFrame:
         return self.chunks().where(F.col("chunk_id") == chunk_id).drop("content_hash", "project_name")

@@ -401,3 +401,37 @@ def test_postings_are_built_without_a_shuffle(spark, monkeypatch):
     assert sorted((r.token, r.chunk_id, r.tf) for r in posted.collect()) == sorted((r.token, r.chunk_id, r.tf) for r in retrieval.postings(df.drop("bucket")).collect())
     assert lengths.count() == len(rows)
     assert {(r.token, r.df, r.cf) for r in retrieval.term_stats(packed).collect()} == {("a", 3, 5), ("b", 2, 4), ("c", 1, 9), ("é", 1, 1)}
+
+
+def test_batches_are_scored_in_place(spark, monkeypatch):
+    """Against scores of all pairs, ties by id, in one pass and in several, from texts and from stored postings."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(words, range(30, 0, -1), k=rng.randint(1, 25))) for _ in range(60)]
+    rows = [(str(i), t) for i, t in enumerate([*texts, *texts[:20], None, "", "!?"])]  # copies tie, three have no tokens
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string").repartition(3)
+    asked = [(q, " ".join(rng.choices([*words, "none"], k=6)), None if q % 3 else q % 4) for q in range(12)] + [(20, "none", None), (21, "", 3), (22, None, 3)]
+    queries = spark.createDataFrame(asked, "query_id long, query string, top_k int")
+    bag = {c: t.split() for c, t in rows if t and t != "!?"}
+    n, avg = len(bag), sum(map(len, bag.values())) / len(bag)
+    want = set()
+    for q, query, k in asked:
+        scores = {}
+        for w in set((query or "").split()):
+            df = sum(w in t for t in bag.values())
+            idf = max(math.log((n - df + 0.5) / (df + 0.5)), 0) or 1e-6
+            for c, t in bag.items():
+                if tf := t.count(w):
+                    scores[c] = scores.get(c, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / avg))
+        best = sorted(scores, key=lambda c: (-round(scores[c], 9), c))[: 5 if k is None else k]
+        want |= {(q, c, r + 1, round(scores[c], 6)) for r, c in enumerate(best)}
+    bags = retrieval.bags(chunks)
+    feeds = [(bags, retrieval.bag_figures(bags)), retrieval.bags_of_postings(*retrieval.index_postings(chunks), queries)]
+    for feed, passes in ((0, 200_000), (0, 20), (1, 200_000)):
+        monkeypatch.setattr(retrieval, "PASS_TOKENS", passes)
+        got = retrieval.query_batch(*feeds[feed], queries, 5)
+        assert {(r.query_id, r.chunk_id, r["rank"], round(r.score, 6)) for r in got.collect()} == want, (feed, passes)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan or feed  # no row for each query and posting

@@ -435,3 +435,15 @@ def test_batches_are_scored_in_place(spark, monkeypatch):
         assert {(r.query_id, r.chunk_id, r["rank"], round(r.score, 6)) for r in got.collect()} == want, (feed, passes)
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan or feed  # no row for each query and posting
+
+
+def test_evaluation_shuffles_no_texts(spark, sf_dir):
+    from lodeseek.queries import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["retrieval_eval"](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [x for x in plan.toString().splitlines() if "Join Inner" in x and "chunk_id" in x]
+    assert len(joins) == 1 and "strategy=broadcast" in joins[0]

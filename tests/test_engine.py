@@ -447,3 +447,10 @@ def test_evaluation_shuffles_no_texts(spark, sf_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     joins = [x for x in plan.toString().splitlines() if "Join Inner" in x and "chunk_id" in x]
     assert len(joins) == 1 and "strategy=broadcast" in joins[0]
+
+
+def test_terms_of_a_query_are_numbers_not_lists(spark):
+    df = spark.createDataFrame([("1", "a b"), ("2", "b c"), ("3", "c")], "chunk_id string, content string")
+    found = retrieval.bm25_indexed(*retrieval.index_postings(df), "a b c", "any")
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.chunk_id: r.score for r in found.collect()} == {r.chunk_id: r.score for r in retrieval.bm25(df, "a b c", "any").collect()}

@@ -454,3 +454,12 @@ def test_terms_of_a_query_are_numbers_not_lists(spark):
     found = retrieval.bm25_indexed(*retrieval.index_postings(df), "a b c", "any")
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r.chunk_id: r.score for r in found.collect()} == {r.chunk_id: r.score for r in retrieval.bm25(df, "a b c", "any").collect()}
+
+
+def test_search_reads_the_blocks_of_its_tokens(spark, sf_dir):
+    from lodeseek.queries import QUERIES
+
+    plan = QUERIES["hybrid_sparse_only"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "/postings/" in x]
+    assert scans and all("In(token, [the,worthless])" in x or "EqualTo(token,)" in x for x in scans)
+    assert not any("positions" in x.split("ReadSchema")[1] for x in scans)

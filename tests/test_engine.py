@@ -463,3 +463,17 @@ def test_search_reads_the_blocks_of_its_tokens(spark, sf_dir):
     scans = [x for x in plan.splitlines() if "/postings/" in x]
     assert scans and all("In(token, [the,worthless])" in x or "EqualTo(token,)" in x for x in scans)
     assert not any("positions" in x.split("ReadSchema")[1] for x in scans)
+
+
+def test_search_builds_its_index_without_a_shuffle(spark, sf_dir, monkeypatch):
+    from lodeseek import queries
+
+    plans, write = [], queries.Store.write
+    keep = lambda self, name, df, *more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(self, name, df, *more)
+    monkeypatch.setattr(queries.Store, "write", keep)
+    monkeypatch.setattr(queries, "_INDEX", {})
+    for name in ("rerank", "hybrid_sparse_only"):
+        queries._INDEX.clear()
+        built = len(plans)
+        queries.QUERIES[name](spark, sf_dir)
+        assert len(plans) > built and not any("Exchange" in p for p in plans), name
